@@ -7,12 +7,15 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import q_pii, q_quality, q_urls
+from lorekeep.llm import q_pii, q_quality, q_scoring, q_tokens, q_urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": q_quality.op1_quality_rules,
+        "op2_packing": q_tokens.op2_packing,
+        "op3_sentencepiece": q_tokens.op3_sentencepiece,
+        "op4_lm_scoring": q_scoring.op4_lm_scoring,
         "op5_pii": q_pii.op5_pii,
         "op6_url_filters": q_urls.op6_url_filters,
         "pipeline": corpus_pipeline.run,
