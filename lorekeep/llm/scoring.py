@@ -157,7 +157,7 @@ def _words(docs: DataFrame, parts: int) -> DataFrame:
     def flush(block: int, n: dict[bytes, int]) -> pa.RecordBatch:
         words = list(n)
         counts = np.fromiter(n.values(), np.int64, len(n))
-        part = arrow.Words(words).hashes() % np.uint64(parts) if words and parts > 1 else np.zeros(len(words), np.uint64)
+        part = arrow.Words([w if w != END else b"|" for w in words]).hashes() % np.uint64(parts)
         out = {k: [] for k in types}
         order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(parts + 1).astype(np.uint64))
