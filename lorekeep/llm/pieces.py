@@ -103,29 +103,21 @@ class Encoder:
         return got
 
     def tokens(self, part: str) -> list[str]:
-        last: list[str] = [""] * (len(part) + 1)
-        fits, ids, done = self.fits.get, self.ids, 0
+        last: list[str] = [""] * (len(part) + 1)  # empty after a character outside the vocabulary
+        fits = self.fits.get
         for end, piece in self.automaton.iter(part):
             end += 1
-            for i in range(done + 1, end):
-                last[i] = last[i] or part[i - 1]
-            done = max(done, end - 1)
             if last[end]:
                 continue
-            before = end - len(piece)
-            if before == 0:
-                last[end] = piece
-                continue
-            a = last[before]
-            ok = a not in ids or fits((a, piece))
+            a = last[end - len(piece)]
+            ok = not a or fits((a, piece))
             if ok or ok is None and self.compatible(a, piece):
                 last[end] = piece
-        for i in range(done + 1, len(part) + 1):
-            last[i] = last[i] or part[i - 1]
         out, at = [], len(part)
         while at:
-            out.append(last[at])
-            at -= len(last[at])
+            t = last[at] or part[at - 1]
+            out.append(t)
+            at -= len(t)
         return out[::-1]
 
     def encode_part(self, part: str) -> list[int]:
