@@ -1,13 +1,15 @@
 """Near-duplicates: b-bit MinHash signatures, a multi-index Hamming join, and confirmation on full shingle sets.
 
 A text's set holds its distinct five-word shingles. Texts with equal sets form a class, and only its smallest document goes on. A signature
-has SIZE minima of BITS bits, in chunks of three. Two signatures that differ in at most RADIUS minima differ, by pigeonhole, in at most one
-minimum of some chunk; so each chunk is indexed once for every single minimum left out, and all pairs within RADIUS meet under some key.
-Sets with similarity 0.75 differ in a quarter of the minima on average; more than RADIUS differing has a chance of 1.4e-7 there and less above.
+has WIDE minima of BITS bits. The first SIZE of them stand in chunks of three: two signatures that differ in at most RADIUS of these differ,
+by pigeonhole, in at most one of some chunk; so each chunk is indexed once for every single one left out, and all pairs within RADIUS meet
+under some key. Pairs that meet stay candidates while they differ in at most FAR of all WIDE. Sets with similarity 0.75 differ in a quarter
+on average; more than RADIUS has a chance of 1.4e-7 there, more than FAR of 1e-8, and both less above.
 
-Pairs within a key are not listed. First every class is compared with the smallest one of each of its keys, which joins most copies to one
-another; then, in keys where several components still meet, the members outside the largest component are compared with the others, in blocks of bounded
-size. Every link between different components that the keys can show is tested on the full sets, so no cap or sample decides anything.
+Pairs within a key are not listed. First every class is compared with the smallest class that it shares a key with, which joins most copies
+to one another. Then, in keys where several components still meet, the members outside the largest are compared with the others, in blocks of
+bounded size: in one round with the nearest signature of each other component, and in the last with all that are still in another component.
+Every link between different components that the keys can show is tested on the full sets, so no cap or sample decides anything.
 
 Defined results: texts of one to four words have one shingle, the whole; a null text or one without words has an empty set and is linked
 with nothing; repeated rows are one class; an empty table gives an empty result.
@@ -25,11 +27,11 @@ from pyspark.sql import functions as F
 from lorekeep.llm import arrow, blocks, graph
 
 SHINGLE, PERCENT = 5, 75
-SIZE, CHUNK, BITS = 36, 3, 16
-RADIUS = 2 * (SIZE // CHUNK) - 1
+SIZE, WIDE, CHUNK, BITS = 36, 128, 3, 16
+RADIUS, FAR = 2 * (SIZE // CHUNK) - 1, 60
 LEFT, RIGHT = 512, 4096  #: rows of a key that meet in one task
-_ODD = (np.random.default_rng(7).integers(0, 1 << 63, SIZE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_XOR = np.random.default_rng(8).integers(0, 1 << 63, SIZE, dtype=np.uint64)
+_ODD = (np.random.default_rng(7).integers(0, 1 << 63, WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_XOR = np.random.default_rng(8).integers(0, 1 << 63, WIDE, dtype=np.uint64)
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,9 +56,9 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """SIZE minima, BITS bits of each, of non-empty sets."""
-    out = np.empty((len(bounds) - 1, SIZE), "<u2")
-    for k in range(SIZE):
+    """WIDE minima, BITS bits of each, of non-empty sets."""
+    out = np.empty((len(bounds) - 1, WIDE), "<u2")
+    for k in range(WIDE):
         out[:, k] = arrow.mix(np.minimum.reduceat((values ^ _XOR[k]) * _ODD[k], bounds[:-1])) & np.uint64((1 << BITS) - 1)
     return out
 
@@ -88,7 +90,7 @@ def _keys(classes: DataFrame) -> DataFrame:
         for rb in batches:
             if not rb.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(rb["sig"].to_pylist()), "<u2").reshape(-1, SIZE).astype(np.int64)
+            sig = np.frombuffer(b"".join(rb["sig"].to_pylist()), "<u2").reshape(-1, WIDE)[:, :SIZE].astype(np.int64)
             keys = []
             for c in range(0, SIZE, CHUNK):
                 for out in range(CHUNK):
@@ -102,13 +104,13 @@ def _keys(classes: DataFrame) -> DataFrame:
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``x``, ``y`` whose set sizes allow a link and whose signatures lie within RADIUS."""
+    """Pairs ``x``, ``y`` whose set sizes allow a link and whose signatures differ in at most FAR minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             if rb.num_rows:
-                s, t = (np.frombuffer(b"".join(rb[c].to_pylist()), "<u2").reshape(-1, SIZE) for c in ("sx", "sy"))
-                yield rb.filter(pa.array((s != t).sum(axis=1) <= RADIUS)).select(["x", "y"])
+                s, t = (np.frombuffer(b"".join(rb[c].to_pylist()), "<u2").reshape(-1, WIDE) for c in ("sx", "sy"))
+                yield rb.filter(pa.array((s != t).sum(axis=1) <= FAR)).select(["x", "y"])
 
     x = classes.select(F.col("id").alias("x"), F.col("sig").alias("sx"))
     y = classes.select(F.col("id").alias("y"), F.col("sig").alias("sy"))
@@ -154,9 +156,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("x", "part").sortWithinPartitions("x", "part", F.asc_nulls_first("y")).mapInArrow(run, "a long, b long")
 
 
-def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """Likely pairs between different components that share a key, each once."""
-    rooted = shared.join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame, nearest: bool) -> DataFrame:
+    """Likely pairs between different components that share a key, each once; with ``nearest`` just the nearest of each other component."""
+    rooted = shared.select("key", "id", "n").join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("most")).filter("m > most")
     mixed = mixed.withColumns({"lefts": F.ceil((F.col("m") - F.col("most")) / LEFT), "rights": F.ceil(F.col("m") / RIGHT)})
@@ -174,9 +176,9 @@ def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFram
             if not len(key):
                 continue
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-            out = [np.zeros((2, 0), np.int64)]
+            out = [np.zeros((4, 0), np.int64)]
             ids, n, root = (rb[c].to_numpy(zero_copy_only=False) for c in ("id", "n", "root"))
-            sig = np.frombuffer(b"".join(rb["sig"].to_pylist()), "<u2").reshape(-1, SIZE)
+            sig = np.frombuffer(b"".join(rb["sig"].to_pylist()), "<u2").reshape(-1, WIDE)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 cell = tuple(key[a, :3].tolist())
                 if key[a, 3] == 0:
@@ -187,12 +189,21 @@ def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFram
                         for k in range(len(li)):
                             ok = (root[a:b] != lr[k]) & (100 * np.minimum(n[a:b], ln[k]) >= PERCENT * np.maximum(n[a:b], ln[k]))
                             near = a + np.flatnonzero(ok)
-                            near = near[(sig[near] != ls[k]).sum(axis=1) <= RADIUS]
-                            out.append(np.stack([np.minimum(ids[near], li[k]), np.maximum(ids[near], li[k])]))
-            x, y = np.concatenate(out, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
-
-    return cells.mapInArrow(run, "x long, y long").distinct()
+                            off = (sig[near] != ls[k]).sum(axis=1)
+                            near, off = near[off <= FAR], off[off <= FAR]
+                            if nearest and len(near) > 1:
+                                order = np.lexsort((ids[near], off, root[near]))
+                                near, off = near[order], off[order]
+                                first = np.concatenate([[True], root[near][1:] != root[near][:-1]])
+                                near, off = near[first], off[first]
+                            out.append(np.stack([np.full(len(near), li[k]), ids[near], root[near], off]))
+            columns = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["x", "y", "root", "off"])
+
+    pairs = cells.mapInArrow(run, "x long, y long, root long, off long")
+    if nearest:
+        pairs = pairs.groupBy("x", "root").agg(F.min_by("y", F.struct("off", "y")).alias("y"))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -203,14 +214,14 @@ def groups(docs: DataFrame) -> DataFrame:
     keys = _keys(classes)
     hubs = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).filter("hub.id < last").select("key", "hub")
     shared = blocks.saved(keys.join(hubs, "key"))
-    size_ok = f"100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)"
-    stars = shared.filter("id > hub.id").filter(size_ok).select(F.col("hub.id").alias("x"), F.col("id").alias("y")).distinct()
+    stars = shared.filter("id > hub.id").filter(f"100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)").groupBy(F.col("id").alias("y")).agg(F.min("hub.id").alias("x")).select("x", "y")
     sets = blocks.saved(_sets(docs, shared.select("id").distinct()))
-    first = blocks.saved(_linked(blocks.saved(_likely(stars, classes)), sets))
-    roots = graph.components(first)
-    more = blocks.saved(_across(shared, roots, classes))
-    if not more.isEmpty():
-        roots = graph.components(roots.unionByName(_linked(more, sets)))
+    roots = graph.components(_linked(blocks.saved(_likely(stars, classes)), sets))
+    for nearest in (True, False):
+        pairs = blocks.saved(_across(shared, roots, classes, nearest))
+        if pairs.isEmpty():
+            break
+        roots = graph.components(roots.unionByName(_linked(pairs, sets)))
     found = classes.join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("a", "b", F.coalesce("root", "id").alias("component_id"))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return sketches.join(found, ["a", "b"], "left").select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
