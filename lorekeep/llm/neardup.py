@@ -4,12 +4,12 @@ A text's set holds its distinct five-word shingles. Texts with equal sets form a
 has WIDE minima of BITS bits. The first SIZE of them stand in chunks of three: two signatures that differ in at most RADIUS of these differ,
 by pigeonhole, in at most one of some chunk; so each chunk is indexed once for every single one left out, and all pairs within RADIUS meet
 under some key. Pairs that meet stay candidates while they differ in at most FAR of all WIDE. Sets with similarity 0.75 differ in a quarter
-on average; more than RADIUS has a chance of 1.4e-7 there, more than FAR of 1e-8, and both less above.
+on average; more than RADIUS has a chance of 1.4e-7 there, more than FAR of 5e-6, and both less above.
 
 Pairs within a key are not listed. First every class is compared with the smallest class that it shares a key with, which joins most copies
 to one another. Then, in keys where several components still meet, the members outside the largest are compared with the others, in blocks of
-bounded size: in one round with the nearest signature of each other component, and in the last with all that are still in another component.
-Every link between different components that the keys can show is tested on the full sets, so no cap or sample decides anything.
+bounded size: in one round with the nearest signature of each other component; in the last, all that still meet another component are tested
+on full sets with all of its members. Every link between different components that the keys can show is tested on the full sets, so no cap or sample decides anything.
 
 Defined results: texts of one to four words have one shingle, the whole; a null text or one without words has an empty set and is linked
 with nothing; repeated rows are one class; an empty table gives an empty result.
@@ -28,7 +28,7 @@ from lorekeep.llm import arrow, blocks, graph
 
 SHINGLE, PERCENT = 5, 75
 SIZE, WIDE, CHUNK, BITS = 36, 128, 3, 16
-RADIUS, FAR = 2 * (SIZE // CHUNK) - 1, 60
+RADIUS, FAR = 2 * (SIZE // CHUNK) - 1, 54
 LEFT, RIGHT = 512, 4096  #: rows of a key that meet in one task
 _ODD = (np.random.default_rng(7).integers(0, 1 << 63, WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _XOR = np.random.default_rng(8).integers(0, 1 << 63, WIDE, dtype=np.uint64)
@@ -146,18 +146,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 values = np.frombuffer(s, "<u8")
                 if y is None:
                     at, head = (x, part), values
-                elif at == (x, part):
-                    i = np.searchsorted(head, values)
-                    both = int((head[np.minimum(i, len(head) - 1)] == values).sum())
-                    if 100 * both >= PERCENT * (len(head) + len(values) - both):
-                        out.append((x, y))
+                elif at == (x, part) and _similar(head, values):
+                    out.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return rows.repartition("x", "part").sortWithinPartitions("x", "part", F.asc_nulls_first("y")).mapInArrow(run, "a long, b long")
 
 
-def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame, nearest: bool) -> DataFrame:
-    """Likely pairs between different components that share a key, each once; with ``nearest`` just the nearest of each other component."""
+def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """``x``, ``root``, ``y``: classes that share a key with a likely one of another component ``root``, and the nearest there."""
     rooted = shared.select("key", "id", "n").join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("most")).filter("m > most")
@@ -167,7 +164,7 @@ def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame, nearest: bo
     one = lambda c: F.pmod(F.xxhash64("id", "key"), F.col(c))
     left = rows.filter("root <> main").withColumns({"i": one("lefts"), "side": F.lit(0)}).withColumn("j", F.explode(upto("rights")))
     right = rows.withColumns({"j": one("rights"), "side": F.lit(1)}).withColumn("i", F.explode(upto("lefts")))
-    cells = left.unionByName(right).select("key", "i", "j", "side", "id", "n", "root", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    cells = left.unionByName(right).select("key", "i", "j", "side", "id", "n", "root", "main", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []
@@ -177,7 +174,7 @@ def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame, nearest: bo
                 continue
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             out = [np.zeros((4, 0), np.int64)]
-            ids, n, root = (rb[c].to_numpy(zero_copy_only=False) for c in ("id", "n", "root"))
+            ids, n, root, main = (rb[c].to_numpy(zero_copy_only=False) for c in ("id", "n", "root", "main"))
             sig = np.frombuffer(b"".join(rb["sig"].to_pylist()), "<u2").reshape(-1, WIDE)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 cell = tuple(key[a, :3].tolist())
@@ -191,7 +188,12 @@ def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame, nearest: bo
                             near = a + np.flatnonzero(ok)
                             off = (sig[near] != ls[k]).sum(axis=1)
                             near, off = near[off <= FAR], off[off <= FAR]
-                            if nearest and len(near) > 1:
+                            # Each pair counts under the first key that it shares, and once if both sides are outside the main component.
+                            own_key = (sig[near, :SIZE] == ls[k][:SIZE]).reshape(-1, SIZE // CHUNK, CHUNK)
+                            shares = (own_key.sum(axis=2, keepdims=True) - own_key >= CHUNK - 1).reshape(len(near), SIZE)
+                            once = (shares.argmax(axis=1) == cell[0] >> 2 * BITS) & ((root[near] == main[near]) | (ids[near] > li[k]))
+                            near, off = near[once], off[once]
+                            if len(near) > 1:
                                 order = np.lexsort((ids[near], off, root[near]))
                                 near, off = near[order], off[order]
                                 first = np.concatenate([[True], root[near][1:] != root[near][:-1]])
@@ -201,9 +203,61 @@ def _across(shared: DataFrame, roots: DataFrame, classes: DataFrame, nearest: bo
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["x", "y", "root", "off"])
 
     pairs = cells.mapInArrow(run, "x long, y long, root long, off long")
-    if nearest:
-        pairs = pairs.groupBy("x", "root").agg(F.min_by("y", F.struct("off", "y")).alias("y"))
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return pairs.groupBy("x", "root").agg(F.min_by("y", F.struct("off", "y")).alias("y"))
+
+
+def _joined(met: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """A link ``a``, ``b`` of every ``x`` of ``met`` with the component ``root`` it met, if there is any.
+
+    The x that met a component and its members go to cells of bounded size with their full sets. Sets are sent once for each cell, never
+    for each pair, and one confirmed link of an x leaves a cell, as more of them join nothing else.
+    """
+    member = classes.select("id", "n", "sig").join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = met.groupBy("root").agg(F.ceil(F.count("*") / LEFT).alias("lefts"))
+    own = member.join(sizes, "root")
+    own = own.join(own.groupBy("root").agg(F.ceil(F.count("*") / RIGHT).alias("rights")), "root")
+    counts = own.groupBy("root").agg(F.first("lefts").alias("lefts"), F.first("rights").alias("rights"))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    one = lambda c: F.pmod(F.xxhash64("id", "root"), F.col(c))
+    left = met.select(F.col("x").alias("id"), "root").join(counts, "root").join(member.drop("root"), "id").withColumns({"i": one("lefts"), "side": F.lit(0)})
+    right = own.withColumns({"j": one("rights"), "side": F.lit(1)})
+    left = left.join(sets, "id").withColumn("j", F.explode(upto("rights")))
+    right = right.join(sets, "id").withColumn("i", F.explode(upto("lefts")))
+    names = ["root", "i", "j", "side", "id", "n", "sig", "set"]
+    cells = left.select(names).unionByName(right.select(names)).repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, {}
+        for rb in batches:
+            if not rb.num_rows:
+                continue
+            out = []
+            sig = np.frombuffer(b"".join(rb["sig"].to_pylist()), "<u2").reshape(-1, WIDE)
+            key = np.stack([rb[c].to_numpy(zero_copy_only=False) for c in ("root", "i", "j", "side")], axis=1)
+            ids, n, sets_ = rb["id"].to_pylist(), rb["n"].to_numpy(zero_copy_only=False), rb["set"]
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                cell = tuple(key[a, :3].tolist())
+                if key[a, 3] == 0:
+                    own = own if cell == at else {}
+                    at = cell
+                    own |= {ids[k]: (int(n[k]), sig[k], np.frombuffer(sets_[k].as_py(), "<u8")) for k in range(a, b)}
+                elif cell == at:
+                    for x, (m, s, head) in list(own.items()):
+                        ok = (100 * np.minimum(n[a:b], m) >= PERCENT * np.maximum(n[a:b], m)) & ((sig[a:b] != s).sum(axis=1) <= FAR)
+                        for k in (a + np.flatnonzero(ok)).tolist():
+                            if _similar(head, np.frombuffer(sets_[k].as_py(), "<u8")):
+                                out.append((x, ids[k]))
+                                del own[x]
+                                break
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def _similar(head: np.ndarray, values: np.ndarray) -> bool:
+    both = int((head[np.minimum(np.searchsorted(head, values), len(head) - 1)] == values).sum())
+    return 100 * both >= PERCENT * (len(head) + len(values) - both)
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -217,11 +271,12 @@ def groups(docs: DataFrame) -> DataFrame:
     stars = shared.filter("id > hub.id").filter(f"100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)").groupBy(F.col("id").alias("y")).agg(F.min("hub.id").alias("x")).select("x", "y")
     sets = blocks.saved(_sets(docs, shared.select("id").distinct()))
     roots = graph.components(_linked(blocks.saved(_likely(stars, classes)), sets))
-    for nearest in (True, False):
-        pairs = blocks.saved(_across(shared, roots, classes, nearest))
-        if pairs.isEmpty():
+    for last in (False, True):
+        met = blocks.saved(_across(shared, roots, classes))
+        if met.isEmpty():
             break
-        roots = graph.components(roots.unionByName(_linked(pairs, sets)))
+        links = _joined(met, roots, classes, sets) if last else _linked(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), sets)
+        roots = graph.components(roots.unionByName(links))
     found = classes.join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("a", "b", F.coalesce("root", "id").alias("component_id"))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return sketches.join(found, ["a", "b"], "left").select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
