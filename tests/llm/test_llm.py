@@ -1,0 +1,259 @@
+"""The training-data operators against brute force on small tables with nulls, empty, long, tied and repeated texts."""
+
+import functools
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("lorekeep.llm")
+import public_tokenizers  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from lorekeep.llm import lines, neardup, packing, pieces, pii, quality, scoring, simhash, urls, windows  # noqa: E402
+
+R = random.Random(5)
+VOCAB = ["".join(R.choice(["er", "on", "the", "ch", "é", "ñ"]) for _ in range(R.randint(1, 3))) for _ in range(400)]
+
+
+def prose(n):
+    words = [R.choice(VOCAB) for _ in range(n)]
+    return "".join(w + (".\n" if i % 9 == 8 else " ") for i, w in enumerate(words)).strip()
+
+
+@functools.lru_cache
+def corpus():
+    base = [prose(n) for n in (80, 120, 200, 60, 1500)]
+    edit = base[1].split(" ")
+    edit[40] = "changed"
+    passage = " ".join(prose(60).split())
+    texts = [*base, base[0], " ".join(edit), None, "", " \n\t ", "one two", "one TWO", f"start {passage} end", f"other {passage}", base[2] + "\n" + base[3], "x " * 3000, "a b c d e " * 30, "A@b.co 1.2.3.4"]
+    return list(enumerate(texts))
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tmp_path_factory):
+    path = f"file://{tmp_path_factory.mktemp('docs')}/documents.parquet"
+    d = spark.createDataFrame(corpus(), "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "n_chars": F.length("text").cast("long"), "block": F.lit(1), "n_words": F.lit("own"), "key": F.lit(None).cast("string")})
+    d.repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def empty(spark, docs, tmp_path_factory):
+    path = f"file://{tmp_path_factory.mktemp('none')}/documents.parquet"
+    docs.filter("false").write.parquet(path)
+    return spark.read.schema(docs.schema).parquet(path)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def words(t, lower=False):
+    b = (t or "").encode()
+    return (b.lower() if lower else b).split()
+
+
+def test_quality(docs):
+    got = by_id(quality.ledger(docs.select("doc_id", "text")))
+    for i, t in corpus():
+        w = words(t)
+        grams = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        cover = {k + j for k, g in enumerate(grams) if grams.count(g) > 1 for j in range(5)} if len(grams) < 5000 else None
+        ls = [x for x in (t or "").split("\n") if x.split()]
+        r = got[i]
+        assert (r["n_words"], r["n_dup_lines"]) == (len(w), len(ls) - len(set(ls)))
+        assert cover is None or r["n_repeat_words"] == len(cover)
+        assert (r["failed"] & 1 == 1) == (len(w) < 10)
+    policy = quality.ablation(quality.ledger(docs.select("doc_id", "text")), quality.STRICT).first()
+    assert policy["n"] == len(corpus()) and policy["dropped"] == sum(r["failed"] != 0 for r in got.values())
+    assert quality.clean(docs).columns == docs.columns
+
+
+def test_packing(docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, rows = Tokenizer.from_file(path), packing.documents(docs, path).collect()
+    for i, t in corpus():
+        ids = [*own.encode(t or "", add_special_tokens=False).ids, 2]
+        mine = sorted((r for r in rows if r["doc_id"] == i), key=lambda r: r["start"])
+        assert [x for r in mine for x in range(r["start"], r["start"] + r["length"])] == list(range(len(ids)))
+        for r in mine:
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes())
+    for s in {r["sequence_id"] for r in rows}:
+        at = 0
+        for r in sorted((r for r in rows if r["sequence_id"] == s), key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 4096
+
+
+def test_first_fit_matches_a_scan():
+    for _ in range(50):
+        sizes = sorted((R.randint(1, 100) for _ in range(R.randint(1, 60))), reverse=True)
+        bins, want = [], []
+        for n in sizes:
+            k = next((k for k, b in enumerate(bins) if b + n <= 100), len(bins))
+            bins += [0] * (k == len(bins))
+            want.append((k, bins[k]))
+            bins[k] += n
+        where, offset = packing.first_fit(np.array(sizes), 100)
+        assert list(zip(where.tolist(), offset.tolist(), strict=True)) == want
+
+
+def test_pieces(docs):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, encoder = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Encoder(path)
+    odd = ["", "\n", "  a  b ", "\n\n x", "▁a ▁▁b", "日本語 😀😀", "\t\tfoo\r\nbar  ", "a" * 500, "x\x00y", "<s> </s>", " ", "1234"]
+    odd += ["".join(R.choice("ab e\n▁ thniosr,.é") for _ in range(R.randint(1, 60))) for _ in range(2000)]
+    for t, (ids, text) in zip(odd, encoder.encode(odd), strict=True):
+        want = sp.encode(t)
+        assert ids.decode() == ",".join(map(str, want)) and text.decode() == sp.decode(want)
+    got = by_id(pieces.digests(docs, path))
+    for i, t in corpus():
+        assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, sp.encode(t or ""))).encode()).hexdigest()
+
+
+def test_scoring(docs):
+    got, counts = by_id(scoring.score(docs, depth_docs=4)), {}
+    train = [i for i, _ in corpus() if not scoring.held_out(i)]
+    for i, t in corpus():
+        for w in [*words(t, True), b"\n"]:
+            counts[w] = counts.get(w, 0) + (i in train)
+    n, v = sum(counts.values()), sum(c > 0 for c in counts.values())
+    for i, t in corpus():
+        w = [*words(t, True), b"\n"]
+        assert got[i]["base_score"] == pytest.approx(sum(np.log10((counts[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w))
+        assert got[i]["n_known"] == sum(counts[x] > 0 for x in w) and got[i]["train_tokens"] == n and got[i]["score"] < 0
+
+
+def test_context_tree_is_a_distribution():
+    key, starts = scoring.contexts([b"ab", b"abc", b"\n"])
+    forest = scoring.Forest(key, np.repeat([3, 2, 1], np.diff([*starts, len(key)])))
+    top = scoring.Top(*forest.top)
+    every = (key[2] >> 8 << 8) | np.arange(256)
+    assert np.sum(10 ** top.log10(every, forest.ones(every))) == pytest.approx(1)
+    # Depth 0 of one decision by hand: half its own estimate, half that of what lies below.
+    assert np.exp(scoring.log_kt(np.array([1]), np.array([1]))) == pytest.approx([1 / 8])
+
+
+def test_pii(docs):
+    text = "a@b.c_d@e.f 1.2.3.4.5 256.1.1.1 card 4111 1111-1111 1111, 4111111111111112 +1 (222) 333-44 5 GB82 WEST 1234 5698 7654 32 ssn 123-45-6789"
+    spark = docs.sparkSession
+    d = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "é😀 x@y.co")], "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in pii.find(d).select("doc_id", pii.joined(tuple(k.name for k in pii.KINDS)).alias("s")).collect()}
+    found = [(x.split(":")[0], text[slice(*map(int, x.split(":")[1:]))]) for x in got[1].split(",")]
+    assert found == [("email", "a@b.c"), ("email", "_d@e.f"), ("ip", "1.2.3.4"), ("card", "4111 1111-1111 1111"), ("phone", "+1 (222) 333-44 5"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("ssn", "123-45-6789")]
+    assert (got[2], got[3], got[4]) == ("", "", "email:3:9")
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(d).collect()}
+    assert clean[4] == "é😀 <email>" and clean[2] is None and "4111111111111112" in clean[1]
+
+
+def test_urls(spark):
+    rows = [(1, "http://A.com/x?y"), (2, "https://q.example.com/en/1"), (3, "http://www.example.com/en/1"), (4, None), (5, "no"), (6, "http://b.org/x#z"), (7, "http://a.com")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [got[i]["rule"] for i in range(1, 8)] == ["com/", "example.com/en/", "www.example.com/en/", None, None, None, None]
+    assert (got[1]["host"], got[1]["path"], got[4]["host"], got[6]["path"]) == ("a.com", "/x", "", "/x")
+    assert {r["verdict"] for r in got.values()} <= {"allow", "block"}
+    assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_neardup(docs):
+    sets = {}
+    for i, t in corpus():
+        w = words(t, True)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if a != b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    got = by_id(neardup.groups(docs))
+    assert {i: (r["component_id"], r["n_shingles"], r["kept"]) for i, r in got.items()} == {i: (root[i], len(sets[i]), root[i] == i) for i in sets}
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in root if root[i] == i}
+
+
+def test_lines(docs):
+    seen, want = set(), {}
+    for i, t in corpus():
+        ls = (t or "").split("\n")
+        live = [k for k, x in enumerate(ls) if x.encode().split()]
+        gone, own = set(), []
+        for a in range(len(live) - lines.RUN + 1):
+            g = tuple(ls[k] for k in live[a : a + lines.RUN])
+            if g in seen or g in own:
+                gone |= set(live[a : a + lines.RUN])
+            own.append(g)
+        seen |= set(own)
+        want[i] = None if t is None else "\n".join(x for k, x in enumerate(ls) if k not in gone)
+    out = lines.clean(docs)
+    assert out.columns == docs.columns
+    assert {i: r["text"] for i, r in by_id(out).items()} == want
+
+
+def test_winnowing_guarantees_a_fingerprint_of_every_window():
+    for _ in range(50):
+        h = np.array([R.randint(0, 5) for _ in range(R.randint(0, 20))], np.uint64)
+        got = lines.winnow(h, 3).tolist()
+        assert got == [max(k for k in range(a, a + 3) if h[k] == min(h[a : a + 3])) for a in range(len(h) - 2)]
+
+
+def test_fingerprints(docs):
+    got, text = by_id(simhash.report(docs)), {i: t or "" for i, t in corpus()}
+    order = sorted(text, reverse=True)
+    prints = {i: int(r["fingerprint"], 16) for i, r in got.items()}
+    for k, i in enumerate(order):
+        t, x = text[i], text[order[(k + 1) % len(order)]]
+        e = t[: len(t) - len(t) // 2] + x[: len(t) // 2]
+        assert got[i]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest() and got[i]["n_chars"] == len(t)
+        assert got[i]["n_near"] == sum((prints[i] ^ f).bit_count() <= simhash.RADIUS for f in prints.values()) - 1
+    assert prints[0] == prints[5] and got[7]["n_chars"] == 0
+
+
+def test_windows(docs):
+    first = {}
+    for i, t in corpus():
+        w = words(t)
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), i)
+    got = by_id(windows.dedup(docs))
+    for i, t in corpus():
+        w = words(t)
+        gone = {k + j for k in range(len(w) - 12) if first[tuple(w[k : k + 13])] < i for j in range(13)}
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+
+
+def test_empty_tables(empty):
+    path = public_tokenizers.path
+    assert quality.clean(empty).count() == pii.redact(empty).count() == lines.clean(empty).count() == neardup.keep_one(empty).count() == 0
+    assert packing.documents(empty, path("word_bpe_49k.json")).count() == pieces.digests(empty, path("piece_bpe_32k.model")).count() == 0
+    assert simhash.report(empty).count() == windows.dedup(empty).count() == scoring.score(empty).count() == 0
+
+
+def test_repeated_rows(spark, docs):
+    twice = docs.filter("doc_id < 6").unionByName(docs.filter("doc_id < 6"))
+    assert windows.dedup(twice).filter("doc_id = 0 and n_removed > 0").count() == 0
+    assert simhash.report(twice).count() == neardup.groups(twice).count() == scoring.score(twice).count() == 12
+    assert neardup.keep_one(twice).count() == 5
+
+
+def test_pipeline_stages(spark, docs):
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        new = stage(spark, now, "")
+        assert new.columns == docs.columns
+        now = new
+    left = {r["doc_id"] for r in now.collect()}
+    assert {1, 2, 3, 4} <= left and not {6, 7, 8, 9, 10, 16} & left
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, "")
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == left
