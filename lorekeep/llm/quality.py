@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.llm import blocks
+
 # Characters that divide words, and those counted as symbols.
 WORD = r"[^\x20\x09-\x0D]"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -109,4 +111,6 @@ def ablation(entries: DataFrame, policy: Policy) -> DataFrame:
 def clean(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
     """The rows of ``docs`` that pass, with its own columns."""
     names = docs.columns
-    return ledger(docs.select(F.struct("*").alias("_row"), "text")).filter(policy.kept()).select("_row.*").select(*names)
+    # The ledger is written: a filter over it would be pushed into the measurements and repeat them beyond measure.
+    entries = blocks.saved(ledger(docs.select(F.struct("*").alias("_row"), "text")).select("_row", "failed"))
+    return entries.filter(policy.kept()).select("_row.*").select(*names)
