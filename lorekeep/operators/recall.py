@@ -53,3 +53,38 @@ def edge_wing(hits: DataFrame, edges: DataFrame, least: float = EDGE_LEAST, per_
     near = two.filter(F.col("w") >= least).join(hits.select(F.col("id").alias("hit")), "hit", "left_semi").join(hits.select("id"), "id", "left_anti")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("hit").orderBy(F.desc("w"), "id"))).filter(F.col("r") <= per_hit)
     return near.groupBy("id").agg(F.max("w").alias("w")).orderBy(F.desc("w"), "id").limit(total)
+
+
+def parent_climb(hits: DataFrame, mounts: DataFrame, tags: DataFrame, total: int = WING) -> DataFrame:
+    """Atoms under the other children of the parents of the hits' tags, hits excluded: ``id``, ``w``."""
+    own = mounts.join(hits.select(F.col("id").alias("atom_id")), "atom_id", "left_semi").select("tag_id").distinct()
+    up = tags.join(own, "tag_id", "left_semi").select("parent_id").distinct()
+    kin = tags.join(up, "parent_id", "left_semi").join(own, "tag_id", "left_anti").select("tag_id")
+    found = mounts.join(kin, "tag_id", "left_semi").groupBy(F.col("atom_id").alias("id")).agg(F.max("w").alias("w"))
+    return found.join(hits.select("id"), "id", "left_anti").orderBy(F.desc("w"), "id").limit(total)
+
+
+def quota(df: DataFrame, anchor: str, each: int = 3, total: int = WING) -> DataFrame:
+    """The best rows by ``score``, at most ``each`` for an anchor."""
+    own = df.withColumn("_r", F.row_number().over(Window.partitionBy(anchor).orderBy(F.desc("score"), "id"))).filter(F.col("_r") <= each).drop("_r")
+    return own.orderBy(F.desc("score"), "id").limit(total)
+
+
+def fact_recall(facts: DataFrame, entities: DataFrame, query: str, k: int | None = 10, floor: float = 0.0) -> DataFrame:
+    """Live facts about the entities that the query names, and about their neighbours: ``id``, ``match``, ``hop``, ``score``.
+
+    An entity is named where its name holds a token of the query. A fact's match counts both of its names, its hop is 0 where an end
+    is named and 1 where an end is a neighbour of a named one.
+    """
+    live = temporal.live_facts(facts).select("id", "subject_id", "predicate", "object_id", "confidence")
+    tokens = text.query_tokens(F.lit(query))
+    named = entities.filter(F.exists(tokens, lambda t: F.contains(F.lower("name"), t))).select("id")
+    touched = temporal.touching(live, named)
+    near = touched.select(F.col("subject_id").alias("id")).unionByName(touched.select(F.col("object_id").alias("id"))).distinct()
+    hits = temporal.touching(live, near).join(touched.select("id").withColumn("hop", F.lit(0)), "id", "left").withColumn("hop", F.coalesce("hop", F.lit(1)))
+    names = entities.select("id", "name")
+    hits = hits.join(names.select(F.col("id").alias("subject_id"), F.col("name").alias("_s")), "subject_id", "left").join(names.select(F.col("id").alias("object_id"), F.col("name").alias("_o")), "object_id", "left")
+    hits = hits.withColumn("match", text.match_item(F.concat_ws(" ", "_s", "predicate", "_o"), tokens, F.lit(query)))
+    score = scores.fact_score(F.col("match"), F.lit(0.0), scores.mem_score(F.col("confidence"), F.col("confidence")), F.lit(0.0), scores.hop_decay(F.col("hop")))
+    out = hits.withColumn("score", F.round(score, 6)).filter(F.col("score") >= floor)
+    return rank(out.select("id", F.round("match", 6).alias("match"), "hop", "score"), k)

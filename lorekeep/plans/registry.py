@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.plans import core
+from lorekeep.plans import core, more  # noqa: F401 - the second registers its queries with the first
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
