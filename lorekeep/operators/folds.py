@@ -46,7 +46,7 @@ def tokens(text: Column) -> Column:
 
 def paragraphs(text: Column, most: int = 1500) -> Column:
     """Blank lines divide paragraphs; those above ``most`` characters are divided after full stops. Blanks are dropped."""
-    parts = F.filter(F.transform(F.split(text, r"\n[ \t]*\n"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, r"\n(?:[ \t]*\n)+"), lambda x: F.trim(x)), lambda x: x != "")
     return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(F.filter(F.split(p, "(?<=[。.])"), lambda x: F.trim(x) != ""))))
 
 
