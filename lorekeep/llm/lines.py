@@ -73,9 +73,10 @@ def repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
     """``doc_id``, ``gone``: the windows of each document that occurred before, by first line."""
     windows = blocks.saved(_windows(docs, run))
     place = F.struct("doc_id", "at")
-    again = windows.groupBy("fingerprint").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("fingerprint")
+    # Both sides of each join come from a table: a fingerprint or window that is very common is then split over tasks.
+    again = blocks.saved(windows.groupBy("fingerprint").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("fingerprint"))
     met = windows.join(again, "fingerprint", "left_semi")
-    first = met.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("a", "b", "first")
+    first = blocks.saved(met.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("a", "b", "first"))
     return met.join(first, ["a", "b"]).filter(place > F.col("first")).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
 
 
