@@ -16,7 +16,21 @@ def _to_least(links: DataFrame, larger_only: bool) -> DataFrame:
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     out = both.join(least, "u")
     out = out.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if larger_only else out.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b")
+
+
+def forest_roots(links: DataFrame) -> DataFrame:
+    """The same as ``components`` for links in which every node has at most one smaller neighbour.
+
+    Each round halves the depth with one join (every node takes the parent of its parent) and is written to the shared folder.
+    """
+    now = blocks.saved(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    while True:
+        up = now.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+        now = blocks.saved(now.join(up, F.col("b") == F.col("_a"), "left").select("a", F.coalesce("_b", "b").alias("b"), F.col("_a").isNotNull().alias("moved")))
+        if not now.agg(F.max("moved")).first()[0]:
+            return now.select("a", "b")
+        now = now.select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,4 +46,4 @@ def components(links: DataFrame) -> DataFrame:
         if stamp == mark or stamp[0] == 0:
             return now
         mark = stamp
-        now = blocks.saved(_to_least(_to_least(now, True), False))
+        now = blocks.saved(_to_least(_to_least(now, True), False).distinct())

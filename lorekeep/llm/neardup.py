@@ -270,7 +270,7 @@ def groups(docs: DataFrame) -> DataFrame:
     shared = blocks.saved(keys.join(hubs, "key"))
     stars = shared.filter("id > hub.id").filter(f"100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)").groupBy(F.col("id").alias("y")).agg(F.min("hub.id").alias("x")).select("x", "y")
     sets = blocks.saved(_sets(docs, shared.select("id").distinct()))
-    roots = graph.components(_linked(blocks.saved(_likely(stars, classes)), sets))
+    roots = graph.forest_roots(_linked(blocks.saved(_likely(stars, classes)), sets))
     for last in (False, True):
         met = blocks.saved(_across(shared, roots, classes))
         if met.isEmpty():
