@@ -213,14 +213,12 @@ def _joined(met: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFram
     for each pair, and one confirmed link of an x leaves a cell, as more of them join nothing else.
     """
     member = classes.select("id", "n", "sig").join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = met.groupBy("root").agg(F.ceil(F.count("*") / LEFT).alias("lefts"))
-    own = member.join(sizes, "root")
-    own = own.join(own.groupBy("root").agg(F.ceil(F.count("*") / RIGHT).alias("rights")), "root")
-    counts = own.groupBy("root").agg(F.first("lefts").alias("lefts"), F.first("rights").alias("rights"))
+    lefts = met.groupBy("root").agg(F.ceil(F.count("*") / LEFT).alias("lefts"))
+    counts = lefts.join(member.groupBy("root").agg(F.ceil(F.count("*") / RIGHT).alias("rights")), "root")
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     one = lambda c: F.pmod(F.xxhash64("id", "root"), F.col(c))
     left = met.select(F.col("x").alias("id"), "root").join(counts, "root").join(member.drop("root"), "id").withColumns({"i": one("lefts"), "side": F.lit(0)})
-    right = own.withColumns({"j": one("rights"), "side": F.lit(1)})
+    right = member.join(counts, "root").withColumns({"j": one("rights"), "side": F.lit(1)})
     left = left.join(sets, "id").withColumn("j", F.explode(upto("rights")))
     right = right.join(sets, "id").withColumn("i", F.explode(upto("lefts")))
     names = ["root", "i", "j", "side", "id", "n", "sig", "set"]
