@@ -6,7 +6,10 @@ the RUN-line windows around it are compared, and each window that occurred befor
 one) is a repeat. Overlapping repeats make up the run extended both ways as far as it matches, and its lines are deleted; the first
 occurrence stays.
 
-Defined results: lines without a word are never deleted and don't interrupt a run; texts with fewer than RUN such lines stay as they are; a
+The length in lines only guards against short ones that recur by chance: a single line, or a pair of neighbouring ones, of LONG words or more
+is a window of its own and a repeat wherever it occurred before.
+
+Defined results: lines without a word are never deleted and don't interrupt a run; shorter repeats with fewer than LONG words stay; a
 null text stays null; rows with equal ids count as one document, so neither repeats the other; an empty table gives an empty result. A document of which nothing is left stays, with an
 empty text.
 """
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from lorekeep.llm import arrow, blocks
 
 RUN = 3
+LONG = 20  #: words that make a run of fewer lines a repeat
 
 
 def _live(text: bytes) -> tuple[list[bytes], list[int]]:
@@ -45,46 +49,54 @@ def winnow(h: np.ndarray, run: int = RUN) -> np.ndarray:
     return np.arange(len(views)) + run - 1 - views[:, ::-1].argmin(axis=1)
 
 
-def _windows(docs: DataFrame, run: int) -> DataFrame:
-    """``doc_id``, ``at`` (its first line, counted among lines with a word), ``fingerprint``, ``a``, ``b`` (128 bits that name the lines) of every window."""
+def _windows(docs: DataFrame, run: int, long: int | None) -> DataFrame:
+    """``doc_id``, ``at`` (its first line, counted among lines with a word), ``size`` (its lines), ``fingerprint``, ``a``, ``b`` (128 bits that name the lines) of every window."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in arrow.slices(batches):
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for doc, text in zip(rb["doc_id"].to_pylist(), arrow.utf8(rb["text"]), strict=True):
                 lines, live = _live(text)
-                if len(live) < run:
-                    continue
                 h = line_hashes([lines[i] for i in live])
-                where = winnow(h, run)
-                a, b = np.zeros(len(where), np.uint64), np.ones(len(where), np.uint64)
-                for k in range(run):
-                    a = arrow.mix(a + h[k : k + len(where)])
-                    b = arrow.mix(b * np.uint64(0xD1342543DE82EF95) ^ h[k : k + len(where)])
-                for column, v in zip(out, (np.full(len(where), doc), np.arange(len(where)), h[where].view(np.int64), a.view(np.int64), b.view(np.int64)), strict=True):
-                    column.append(v)
+                words = np.fromiter((len(lines[i].split()) for i in live), np.int64, len(live)) if long is not None else None
+                for size in range(run if long is None else 1, run + 1):
+                    where = winnow(h, size)
+                    at = np.arange(len(where))
+                    if size < run:
+                        at = at[sum(words[k : k + len(at)] for k in range(size)) >= long]
+                    if not len(at):
+                        continue
+                    a, b = np.full(len(at), run - size, np.uint64), np.ones(len(at), np.uint64)
+                    for k in range(size):
+                        a = arrow.mix(a + h[at + k])
+                        b = arrow.mix(b * np.uint64(0xD1342543DE82EF95) ^ h[at + k])
+                    # Windows of different lengths don't meet.
+                    fingerprint = h[where[at]] ^ np.uint64(run - size)
+                    for column, v in zip(out, (np.full(len(at), doc), at, np.full(len(at), size), fingerprint.view(np.int64), a.view(np.int64), b.view(np.int64)), strict=True):
+                        column.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["doc_id", "at", "fingerprint", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["doc_id", "at", "size", "fingerprint", "a", "b"])
 
-    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(work, "doc_id long, at long, fingerprint long, a long, b long")
+    return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(work, "doc_id long, at long, size long, fingerprint long, a long, b long")
 
 
-def repeats(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """``doc_id``, ``gone``: the windows of each document that occurred before, by first line."""
-    windows = blocks.saved(_windows(docs, run))
+def repeats(docs: DataFrame, run: int = RUN, long: int | None = LONG) -> DataFrame:
+    """``doc_id``, ``gone``: the windows of each document that occurred before, by first line and number of lines (``at``, ``size``)."""
+    windows = blocks.saved(_windows(docs, run, long))
     place = F.struct("doc_id", "at")
     # Both sides of each join come from a table: a fingerprint or window that is very common is then split over tasks.
     again = blocks.saved(windows.groupBy("fingerprint").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("fingerprint"))
     met = windows.join(again, "fingerprint", "left_semi")
     first = blocks.saved(met.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("a", "b", "first"))
-    return met.join(first, ["a", "b"]).filter(place > F.col("first")).groupBy("doc_id").agg(F.collect_set("at").alias("gone"))
+    return met.join(first, ["a", "b"]).filter(place > F.col("first")).groupBy("doc_id").agg(F.collect_set(F.struct("at", "size")).alias("gone"))
 
 
-def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """``docs`` with ``text`` without repeated runs, and ``n_lines`` and ``n_removed`` (lines, blank ones included in the first)."""
+def dedup(docs: DataFrame, run: int = RUN, long: int | None = LONG) -> DataFrame:
+    """``docs`` with ``text`` without repeated runs, and ``n_lines`` and ``n_removed`` (lines, blank ones included in the first). With
+    ``long`` None only runs of ``run`` lines count, however long the lines."""
     names = docs.columns
     rows = docs.select(F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("_row"), F.col("text"))
-    rows = rows.join(repeats(docs, run).withColumnRenamed("doc_id", "_id"), "_id", "left").select("_row", "text", "gone")
+    rows = rows.join(repeats(docs, run, long).withColumnRenamed("doc_id", "_id"), "_id", "left").select("_row", "text", "gone")
     kinds = rows.select("_row", "text").schema.add("n_lines", "long").add("n_removed", "long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +108,7 @@ def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
                 drop: set[int] = set()
                 if gone:
                     live = [i for i, x in enumerate(lines) if x.encode().split()]
-                    drop = {live[g + k] for g in gone for k in range(run)}
+                    drop = {live[g["at"] + k] for g in gone for k in range(g["size"])}
                 removed.append(len(drop))
                 texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
             yield pa.RecordBatch.from_arrays([rb["_row"], pa.array(texts, rb["text"].type), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=["_row", "text", "n_lines", "n_removed"])

@@ -212,6 +212,18 @@ def test_lines(docs):
     assert {i: r["text"] for i, r in by_id(out).items()} == brute_lines(corpus())
 
 
+def test_long_passages_of_one_or_two_lines(spark):
+    long = [" ".join(f"{c}{k}" for k in range(60)) for c in "abcd"]
+    short = "five words on a line"
+    half = [" ".join(f"{c}{k}" for k in range(12)) for c in "xy"]
+    texts = [long[0], f"own\n{long[0]}", f"{half[0]}\n \n{half[1]}", f"u\n{half[0]}\n{half[1]}\nv", f"{short}\n{half[0]}", short, f"{long[1]}\n{long[1]}", f"{long[2]}\n{short}", f"{long[2]}\n{short}"]
+    got = by_id(lines.clean(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    want = [texts[0], "own", texts[2], "u\nv", texts[4], short, long[1], texts[7], ""]
+    assert [got[i]["text"] for i in range(len(texts))] == want
+    # The query has the rule of its SQL.
+    assert lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), long=None).filter("n_removed > 0").count() == 0
+
+
 def test_winnowing_guarantees_a_fingerprint_of_every_window():
     for _ in range(50):
         h = np.array([R.randint(0, 5) for _ in range(R.randint(0, 20))], np.uint64)
