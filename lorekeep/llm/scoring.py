@@ -1,15 +1,16 @@
 """Language-model scores by context-tree weighting.
 
-A word is its bytes and a closing space; a token's contexts are the up to DEPTH bytes before a byte within its word (spaces stand before the
-first). A byte is eight binary decisions, and each decision has a context tree with a Krichevsky-Trofimov estimator in every node; a node's
-probability is half its own estimate and half the product of its children's, so all depths are mixed by how well they coded the corpus.
-Scoring walks the frozen trees: weight * own estimate + (1 - weight) * the deeper node's. A node that the corpus never reached gives its
-parent's estimate (one half above the root), so a new context costs no more than the shorter one that is known.
-
-Equal words have equal codes, so the trees are counted from distinct words with their corpus counts, and every text is the sum of its
-words' code lengths. Nothing of the corpus's size meets in one place: words travel in parts by hash, contexts in buckets by the hash of
-their two nearest bytes, and each block of documents gets back just its own words' codes. Only the top of the trees (contexts of none and
-one byte: at most 257 * 255 nodes) goes through the driver.
+A text is its lowercased words with a space after each, and the end token; a byte's contexts are the up to DEPTH bytes before it in this running
+text, across words (spaces stand before the first). A byte is eight binary decisions, and each decision has a context tree with a
+Krichevsky-Trofimov estimator in every node; a node's probability is half its own estimate and half the product of its children's, so all
+depths are mixed by how well they coded the corpus. Scoring walks the frozen trees: weight * own estimate + (1 - weight) * the deeper
+node's. A node that the corpus never reached gives its parent's estimate (one half above the root), so a new context costs no more than the
+shorter one that is known.
+
+Texts are written once in units of some MB. A unit counts its distinct contexts with their bytes before anything is exchanged; these meet
+in buckets by the hash of the two nearest bytes, and a unit gets back one probability for each of its own. Nothing of the corpus's size meets
+in one place; only the top of the trees (contexts of none and one byte: at most 257 * 255 nodes) goes through the driver. Word counts,
+for the base score, travel in parts by hash of the word.
 
 Defined results: a null or empty text is the end token alone; without training documents every estimate is uniform; repeated rows count
 each time.
@@ -17,6 +18,7 @@ each time.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm import arrow, blocks
 
-DEPTH = 6
+DEPTH = 7  #: with the byte itself, as many as a 64-bit key holds
 END = b"\n"  #: no word has a newline
 PART_DOCS = 16_384
+UNIT = 32 << 20  #: bytes of text in a unit
+BUCKETS = 8  #: buckets of contexts for each part of words
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
 _TABLE = 1 << 16
@@ -56,19 +60,18 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _rising(n0, _HALF, 0.5) + _rising(n1, _HALF, 0.5) - _rising(n0 + n1, _WHOLE, 1.0)
 
 
-def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every word, with its closing space: the context, nearest byte first, above the byte itself; and where each word starts."""
+def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of every text, with its closing space unless END closes it: the context, nearest byte first, above the byte itself; and where each text starts."""
     gap = b" " * DEPTH
-    data = np.frombuffer(gap + gap.join(words) + gap, np.uint8).astype(np.int64)
-    size = np.fromiter((len(w) + (w != END) for w in words), np.int64, len(words))
-    raw = np.fromiter(map(len, words), np.int64, len(words))
+    size = np.fromiter((len(t) + (not t.endswith(END)) for t in texts), np.int64, len(texts))
+    raw = np.fromiter(map(len, texts), np.int64, len(texts))
     first = DEPTH + np.concatenate([[0], np.cumsum(raw + DEPTH)[:-1]])
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    at = np.arange(int(size.sum())) - np.repeat(starts, size) + np.repeat(first, size)
-    key = data[at]
-    for d in range(1, DEPTH + 1):
-        key |= data[at - d] << 8 * (DEPTH + 1 - d)
-    return key, starts
+    at = np.arange(int(size.sum())) + np.repeat(first - starts, size)
+    data = gap + gap.join(texts) + gap
+    # The eight bytes that end at each byte, the byte itself on top; turned, it comes last and the nearest one first.
+    eight = np.ndarray((len(data) - DEPTH,), "<u8", data, strides=(1,))[at - DEPTH]
+    return (eight << np.uint64(8) | eight >> np.uint64(56)).view(np.int64), starts
 
 
 def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -79,34 +82,68 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[first], *[np.add.reduceat(v[order], first) if len(key) else v for v in values]
 
 
+def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts, and each value's run."""
+    new = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _sums(n: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(n, first) if len(n) else n
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key = np.sort(key)
+    first, _ = _runs(key)
+    return key[first], np.diff(np.append(first, len(key)))
+
+
 class Forest:
     """The context trees below one-byte contexts, of all contexts of some pairs of nearest bytes."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray):
-        key, n = key[n > 0], n[n > 0]
-        byte = key & 255
-        node = np.concatenate([(1 << b) | (byte >> (8 - b)) for b in range(8)])
-        one = np.concatenate([(byte >> (7 - b)) & 1 for b in range(8)])
-        ctx, n = np.tile(key >> 8, 8), np.tile(n, 8)
-        self.levels: list[tuple[np.ndarray, ...]] = []
-        entry, n0, n1 = _summed(ctx << 8 | node, n * (1 - one), n * one)
+        key, n = _summed(key[n > 0], n[n > 0])
+        self.levels: list[tuple[int, list[tuple[np.ndarray, ...]]]] = []
         below = None
-        for depth in range(DEPTH, 1, -1):
-            own = log_kt(n0, n1)
-            weighted = own if below is None else np.logaddexp(own, below) - np.log(2)
-            stop = np.ones(len(own)) if below is None else np.exp(own - np.log(2) - weighted)
-            self.levels.append((depth, entry, n0, n1, stop))
-            entry, n0, n1, below = _summed(entry >> 16 << 8 | entry & 255, n0, n1, weighted)
-        self.top = entry, n0, n1, below  #: one-byte contexts, as far as these trees hang below them
+        for depth in range(DEPTH, 0, -1):
+            # Keys of this depth in order, so the bytes that share a node of a decision lie together.
+            nodes, place = [], []
+            for b in range(8):
+                first, group = _runs(key >> (8 - b))
+                total, one = _sums(n, first), _sums(n * (key >> (7 - b) & 1), first)
+                entry = key[first] >> 8 << 8 | 1 << b | (key[first] & 255) >> (8 - b)
+                nodes.append((entry, total - one, one))
+                place.append((first, group))
+            if below is not None:
+                up = [np.bincount(place[b][1][inverse[first]], weighted, len(nodes[b][0])) for b, (first, weighted) in enumerate(below)]
+            if depth == 1:
+                break
+            level, below_next = [], []
+            for b, (entry, n0, n1) in enumerate(nodes):
+                own = log_kt(n0, n1)
+                weighted = own if below is None else np.logaddexp(own, up[b]) - np.log(2)
+                level.append((entry, n0, n1, np.ones(len(own)) if below is None else np.exp(own - np.log(2) - weighted)))
+                below_next.append((place[b][0], weighted))
+            self.levels.append((depth, level))
+            below = below_next
+            shorter = key >> 16 << 8 | key & 255
+            order = np.argsort(shorter, kind="stable")
+            first, group = _runs(shorter[order])
+            inverse = np.empty(len(key), np.int64)
+            inverse[order] = group
+            key, n = shorter[order][first], _sums(n[order], first)
+        flat = [np.concatenate(c) for c in zip(*nodes, strict=True)] + [np.concatenate(up)]
+        order = np.argsort(flat[0])
+        self.top = tuple(c[order] for c in flat)  #: one-byte contexts, as far as these trees hang below them
 
     def ones(self, key: np.ndarray) -> np.ndarray:
         """For each context and byte, the probability of a one at its eight decisions, mixed from depth DEPTH up to 2."""
         p = np.full((8, len(key)), np.nan)
         byte = key & 255
-        for depth, entry, n0, n1, stop in self.levels:
+        for depth, level in self.levels:
             ctx = key >> 8 >> 8 * (DEPTH - depth) << 8
             for b in range(8):
-                p[b] = _mixed(p[b], ctx | (1 << b) | (byte >> (8 - b)), entry, n0, n1, stop)
+                p[b] = _mixed(p[b], ctx | (1 << b) | (byte >> (8 - b)), *level[b])
         return p
 
 
@@ -132,29 +169,101 @@ class Top:
     def log10(self, key: np.ndarray, p: np.ndarray) -> np.ndarray:
         """log10 probability of each byte in its context, from what ``Forest.ones`` gives."""
         byte, total = key & 255, np.zeros(len(key))
+        # The nodes are few: each is sought once.
+        few, which = np.unique((key >> 8 * DEPTH << 8 | byte).astype(np.int32), return_inverse=True)
+        few, last = few.astype(np.int64), few.astype(np.int64) & 255
         for b in range(8):
             q = p[b]
-            node = (1 << b) | (byte >> (8 - b))
+            node = (1 << b) | (last >> (8 - b))
             for depth, entry, n0, n1, stop in self.levels:
-                q = _mixed(q, node | (key >> 8 * DEPTH << 8 if depth else 0), entry, n0, n1, stop)
+                if not len(entry):
+                    continue
+                at = node | (few >> 8 << 8 if depth else 0)
+                i = np.minimum(np.searchsorted(entry, at), len(entry) - 1)
+                own, weight = np.where(entry[i] == at, (n1[i] + 0.5) / (n0[i] + n1[i] + 1), np.nan)[which], stop[i][which]
+                q = np.where(np.isnan(q), own, weight * own + (1 - weight) * q)
             q = np.where(np.isnan(q), 0.5, q)
             total += np.log10(np.where((byte >> (7 - b)) & 1 == 1, q, 1 - q))
         return total
 
 
-def _bytes(a: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(a, kind).tobytes()
-
-
 def _one(columns: dict, types: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in columns.items()], names=list(columns))
 
 
-def _words(docs: DataFrame, parts: int) -> DataFrame:
-    """``part``, ``block``, ``blob``: each block's distinct tokens with their training counts, by hash of the token."""
-    types = {"part": pa.int64(), "block": pa.int64(), "blob": pa.binary()}
+def _packed(a: np.ndarray) -> bytes:
+    """Whole numbers as differences, all lowest bytes first, compressed."""
+    d = np.diff(a.astype(np.int64), prepend=np.int64(0))
+    return pa.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(blob, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view(np.int64).ravel())
+
+
+def _units(docs: DataFrame) -> DataFrame:
+    """``unit``, ``blob``: rows (``doc_id``, ``text``), written once, so that a unit is the same whenever it is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        unit = lambda: _one({"unit": [uuid.uuid4().int >> 65], "blob": [arrow.pack(pa.Table.from_batches(held).combine_chunks())]}, {"unit": pa.int64(), "blob": pa.binary()})
+        for rb in arrow.slices(batches):
+            if held and size + rb["text"].nbytes > UNIT:
+                yield unit()
+                held, size = [], 0
+            # A copy, as a slice keeps its whole batch.
+            held.append(rb.take(pa.array(np.arange(rb.num_rows))))
+            size += rb["text"].nbytes
+        if held:
+            yield unit()
+
+    return blocks.saved(docs.select("doc_id", "text").mapInArrow(run, "unit long, blob binary"))
+
+
+def _slices(blob: bytes) -> Iterator[tuple[list, list[list[bytes]], list[int]]]:
+    """Ids, words and sizes in bytes of a unit's rows, a few MB at a time."""
+    for rb in arrow.slices(iter(arrow.unpack(blob).to_batches())):
+        yield rb["doc_id"].to_pylist(), [t.lower().split() for t in arrow.utf8(rb["text"])], [len(t) for t in arrow.utf8(rb["text"])]
+
+
+def _running(words: list[list[bytes]]) -> list[bytes]:
+    return [b" ".join([*w, END]) for w in words]
+
+
+def _distinct(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A unit's distinct contexts with bytes, in order, and how often its training rows have them."""
+    keys, counts = [], []
+    for ids, words, _ in _slices(blob):
+        held = [held_out(i) for i in ids]
+        for out in (False, True):
+            texts = _running([w for w, h in zip(words, held, strict=True) if h == out])
+            if texts:
+                key, n = _counted(contexts(texts)[0])
+                keys.append(key)
+                counts.append(n * (not out))
+    return _summed(np.concatenate(keys), np.concatenate(counts))
+
+
+def _bucket(key: np.ndarray, n: int) -> np.ndarray:
+    return (arrow.mix((key >> 8 * (DEPTH - 1) & 0xFFFF).astype(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+def _words(units: DataFrame, parts: int) -> DataFrame:
+    """``part``, ``unit``, ``blob``: each unit's distinct tokens with their training counts, by hash of the token."""
+    types = {"part": pa.int64(), "unit": pa.int64(), "blob": pa.binary()}
 
-    def flush(block: int, n: dict[bytes, int]) -> pa.RecordBatch:
+    def of(unit: int, blob: bytes) -> pa.RecordBatch:
+        n: dict[bytes, int] = {END: 0}
+        for ids, texts, _ in _slices(blob):
+            for doc, words in zip(ids, texts, strict=True):
+                if held_out(doc):
+                    for w in words:
+                        n.setdefault(w, 0)
+                else:
+                    n[END] += 1
+                    for w in words:
+                        n[w] = n.get(w, 0) + 1
         words = list(n)
         counts = np.fromiter(n.values(), np.int64, len(n))
         part = arrow.Words([w if w != END else b"|" for w in words]).hashes() % np.uint64(parts)
@@ -165,130 +274,131 @@ def _words(docs: DataFrame, parts: int) -> DataFrame:
             own = order[cut[p] : cut[p + 1]]
             if len(own):
                 out["part"].append(p)
-                out["block"].append(block)
+                out["unit"].append(unit)
                 out["blob"].append(arrow.pack(pa.table({"w": pa.array([words[i] for i in own.tolist()], pa.binary()), "n": counts[own]})))
         return _one(out, types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, n = None, {}
-        for block, rb in blocks.by_block(batches):
-            if n and block != at:
-                yield flush(at, n)
-                n = {}
-            at = block
-            n.setdefault(END, 0)
-            for doc, text in zip(rb["doc_id"].to_pylist(), arrow.utf8(rb["text"]), strict=True):
-                words = text.lower().split()
-                if held_out(doc):
-                    for w in set(words):
-                        n.setdefault(w, 0)
-                else:
-                    n[END] += 1
-                    for w in words:
-                        n[w] = n.get(w, 0) + 1
-        if n:
-            yield flush(at, n)
+        for rb in batches:
+            for unit, blob in zip(rb["unit"].to_pylist(), rb["blob"], strict=True):
+                yield of(unit, blob.as_py())
 
-    return docs.select("block", "doc_id", "text").mapInArrow(run, "part long, block long, blob binary")
+    return units.mapInArrow(run, "part long, unit long, blob binary")
 
 
-def _merged(blobs: list[bytes]) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """Distinct tokens of a part, their counts, and for each blob where its tokens are among them."""
+def _counts(t: pa.Table) -> pa.Table:
+    """Each unit's tokens of a part with their count in the corpus; the part's totals stand in its first row."""
     index: dict[bytes, int] = {}
-    where, counts = [], []
-    for blob in blobs:
-        t = arrow.unpack(blob)
-        where.append(np.fromiter((index.setdefault(w, len(index)) for w in t["w"].to_pylist()), np.int64, t.num_rows))
-        counts.append(t["n"].to_numpy())
-    total = np.zeros(len(index), np.int64)
-    for i, n in zip(where, counts, strict=True):
-        total[i] += n
-    return list(index), total, where
+    where, counts, tables = [], [], []
+    for blob in t["blob"].to_pylist():
+        tables.append(arrow.unpack(blob))
+        where.append(np.fromiter((index.setdefault(w, len(index)) for w in tables[-1]["w"].to_pylist()), np.int64, tables[-1].num_rows))
+        counts.append(tables[-1]["n"].to_numpy())
+    n = np.zeros(len(index), np.int64)
+    for i, c in zip(where, counts, strict=True):
+        n[i] += c
+    out = [arrow.pack(pa.table({"w": own["w"], "n": n[i]})) for own, i in zip(tables, where, strict=True)]
+    zeros = [0] * (len(out) - 1)
+    return pa.table({"unit": t["unit"], "blob": pa.array(out, pa.binary()), "tokens": pa.array([int(n.sum()), *zeros], pa.int64()), "distinct": pa.array([int((n > 0).sum()), *zeros], pa.int64())})
+
+
+def _asks(units: DataFrame, buckets: int) -> DataFrame:
+    """``bucket``, ``unit``, ``size``, ``keys``, ``counts``: what each unit counts, and asks for, in each bucket of contexts."""
+    types = {"bucket": pa.int64(), "unit": pa.int64(), "size": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for unit, blob in zip(rb["unit"].to_pylist(), rb["blob"], strict=True):
+                key, n = _distinct(blob.as_py())
+                order = np.argsort(_bucket(key, buckets), kind="stable")
+                key, n = key[order], n[order]
+                cut = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1))
+                rows = [(b, unit, y - x, _packed(key[x:y]), _packed(n[x:y])) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
+                yield _one(dict(zip(types, map(list, zip(*rows, strict=True)), strict=True)), types)
+
+    return units.mapInArrow(run, "bucket long, unit long, size long, keys binary, counts binary")
+
+
+def _bucketed(t: pa.Table) -> pa.Table:
+    """A bucket in one row: its contexts with bytes, their counts, where each unit's are among them, and the bucket's share of the top."""
+    keys = [_unpacked(k, n) for k, n in zip(t["keys"].to_pylist(), t["size"].to_pylist(), strict=True)]
+    counts = [_unpacked(k, n) for k, n in zip(t["counts"].to_pylist(), t["size"].to_pylist(), strict=True)]
+    key, n = _summed(np.concatenate(keys), np.concatenate(counts))
+    top = arrow.pack(pa.table(dict(zip(("entry", "n0", "n1", "below"), Forest(key, n).top, strict=True))))
+    where = [_packed(np.searchsorted(key, k)) for k in keys]
+    row = {"bucket": [t["bucket"][0].as_py()], "size": [len(key)], "keys": [_packed(key)], "counts": [_packed(n)], "units": [t["unit"].to_pylist()], "sizes": [t["size"].to_pylist()], "places": [where], "top": [top]}
+    return pa.table(row, schema=pa.schema([("bucket", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("units", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.list_(pa.binary())), ("top", pa.binary())]))
 
 
 def score(docs: DataFrame, depth_docs: int = PART_DOCS) -> DataFrame:
     """Scores of every row of ``docs`` (``doc_id``, ``text``), learnt from those not held out."""
-    spark = docs.sparkSession
-    docs = blocks.with_block(docs)
     parts = max(1, -(-docs.count() // depth_docs))
-    words = blocks.saved(_words(docs, parts))
-
-    def ask(t: pa.Table) -> pa.Table:
-        """What a part counts in each bucket of contexts, and its totals (bucket -1)."""
-        part = t["part"][0].as_py()
-        tokens, n, _ = _merged(t["blob"].to_pylist())
-        key, starts = contexts(tokens)
-        key, n_key = _summed(key, np.repeat(n, np.diff([*starts, len(key)])))
-        bucket = (arrow.mix((key >> 8 * (DEPTH - 1) & 0xFFFF).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        rows = [(-1, part, b"", b"", int(n.sum()), int((n > 0).sum()))]
-        rows += [(b, part, _bytes(key[bucket == b], "<i8"), _bytes(n_key[bucket == b], "<i8"), 0, 0) for b in np.unique(bucket).tolist()]
-        return pa.table(dict(zip(asked.fieldNames(), map(list, zip(*rows, strict=True)), strict=True)))
-
-    asked = spark.createDataFrame([], "bucket long, part long, keys binary, counts binary, tokens long, distinct long").schema
-    asks = blocks.saved(words.groupBy("part").applyInArrow(ask, asked))
-    total = asks.filter("bucket < 0").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
+    buckets = BUCKETS * parts
+    units = _units(docs)
+    words = blocks.saved(_words(units, parts).groupBy("part").applyInArrow(_counts, "unit long, blob binary, tokens long, distinct long"))
+    total = words.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
     tokens, distinct = total["n"] or 0, total["v"] or 0
-
-    def answer(t: pa.Table) -> pa.Table:
-        """The probabilities that each part asked a bucket for, and the bucket's share of the top (part -1)."""
-        keys = [np.frombuffer(k, "<i8") for k in t["keys"].to_pylist()]
-        counts = [np.frombuffer(k, "<i8") for k in t["counts"].to_pylist()]
-        key, n = _summed(np.concatenate(keys), np.concatenate(counts))
-        forest = Forest(key, n)
-        p = forest.ones(key).astype("<f4")
-        rows = [(part, _bytes(k, "<i8"), _bytes(p[:, np.searchsorted(key, k)], "<f4")) for part, k in zip(t["part"].to_pylist(), keys, strict=True)]
-        top = pa.table(dict(zip(("entry", "n0", "n1", "below"), forest.top, strict=True)))
-        rows.append((-1, arrow.pack(top), b""))
-        return pa.table(dict(zip(("part", "keys", "p"), map(list, zip(*rows, strict=True)), strict=True)))
-
-    answers = blocks.saved(asks.filter("bucket >= 0").groupBy("bucket").applyInArrow(answer, "part long, keys binary, p binary"))
+    forests = blocks.saved(_asks(units, buckets).groupBy("bucket").applyInArrow(_bucketed, "bucket long, size long, keys binary, counts binary, units array<long>, sizes array<long>, places array<binary>, top binary"))
 
     def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for blob in rb["keys"].to_pylist():
+            for blob in rb["top"].to_pylist():
                 yield from arrow.unpack(blob).to_batches()
 
-    tops = answers.filter("part < 0").select("keys").mapInArrow(unroll, "entry long, n0 long, n1 long, below double").groupBy("entry").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).orderBy("entry").toArrow()
+    tops = forests.select("top").mapInArrow(unroll, "entry long, n0 long, n1 long, below double").groupBy("entry").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).orderBy("entry").toArrow()
     top = Top(*[c.to_numpy() for c in tops.columns])
 
-    def code(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        """Each block's tokens of a part with their count and log10 probability."""
-        tokens, n, where = _merged(left["blob"].to_pylist())
-        at, starts = contexts(tokens)
-        keys = [np.frombuffer(k, "<i8") for k in right["keys"].to_pylist()]
-        known = np.concatenate(keys)
-        order = np.argsort(known)
-        p = np.concatenate([np.frombuffer(x, "<f4").reshape(8, -1) for x in right["p"].to_pylist()], axis=1)[:, order].astype(float)
-        known = known[order]
-        logs = top.log10(known, p)[np.searchsorted(known, at)]
-        logs = np.add.reduceat(logs, starts)
-        out = {"block": left["block"].to_pylist(), "blob": []}
-        for i in where:
-            out["blob"].append(arrow.pack(pa.table({"w": pa.array([tokens[x] for x in i.tolist()], pa.binary()), "n": n[i], "p": logs[i]})))
-        return pa.table({"block": pa.array(out["block"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())})
-
-    codes = words.groupBy("part").cogroup(answers.filter("part >= 0").groupBy("part")).applyInArrow(code, "block long, blob binary")
-
-    def sums(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The log10 probabilities that each unit asked a bucket for."""
+        types = {"unit": pa.int64(), "bucket": pa.int64(), "p": pa.binary()}
+        for rb in batches:
+            for i in range(rb.num_rows):
+                r = {c: rb[c][i].as_py() for c in rb.schema.names}
+                key, n = _unpacked(r["keys"], r["size"]), _unpacked(r["counts"], r["size"])
+                p = top.log10(key, Forest(key, n).ones(key)).astype("<f4")
+                for unit, size, place in zip(r["units"], r["sizes"], r["places"], strict=True):
+                    yield _one({"unit": [unit], "bucket": [r["bucket"]], "p": [p[_unpacked(place, size)].tobytes()]}, types)
+
+    answers = forests.drop("top").mapInArrow(answer, "unit long, bucket long, p binary")
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
+    target = pa.schema([(c, pa.bool_() if c == "held_out" else pa.float64() if "score" in c else pa.int64()) for c in names])
+    # A unit's text, the counts of its words and the probabilities of its contexts, told apart by bucket.
+    sent = units.select("unit", F.lit(-2).cast("long").alias("bucket"), F.col("blob").alias("p")).unionByName(words.select("unit", F.lit(-1).cast("long").alias("bucket"), F.col("blob").alias("p"))).unionByName(answers)
+
+    def sums(t: pa.Table) -> pa.Table:
+        kind = t["bucket"].to_numpy()
+        blob = t["p"][int(np.flatnonzero(kind == -2)[0])].as_py()
         index: dict[bytes, int] = {}
-        n, p = [], []
-        for blob in right["blob"].to_pylist():
-            t = arrow.unpack(blob)
-            index.update(zip(t["w"].to_pylist(), range(len(index), len(index) + t.num_rows), strict=True))
-            n.append(t["n"].to_numpy())
-            p.append(t["p"].to_numpy())
-        n, p = np.concatenate(n), np.concatenate(p)
+        n = []
+        for i in np.flatnonzero(kind == -1).tolist():
+            own = arrow.unpack(t["p"][i].as_py())
+            index.update(zip(own["w"].to_pylist(), range(len(index), len(index) + own.num_rows), strict=True))
+            n.append(own["n"].to_numpy())
+        n = np.concatenate(n)
         base = np.log10((n + 0.1) / (tokens + 0.1 * (distinct + 1)))
-        rows = []
-        for blob in left["blob"].to_pylist():
-            t = arrow.unpack(blob)
-            for doc, text in zip(t["doc_id"].to_pylist(), arrow.utf8(t["text"].combine_chunks()), strict=True):
-                i = np.fromiter(map(index.__getitem__, [*text.lower().split(), END]), np.int64)
-                rows.append((doc, held_out(doc), len(i), int((n[i] > 0).sum()), tokens, float(base[i].sum()), float(p[i].sum()), len(text)))
+        rows, kept, keys = [], [], []
+        for ids, texts, sizes in _slices(blob):
+            kept.append(_running(texts))
+            keys.append(_counted(contexts(kept[-1])[0])[0])
+            for doc, words, size in zip(ids, texts, sizes, strict=True):
+                i = np.fromiter(map(index.__getitem__, [*words, END]), np.int64)
+                rows.append((doc, held_out(doc), len(i), int((n[i] > 0).sum()), tokens, float(base[i].sum()), size))
+        key = np.sort(np.concatenate(keys))
+        key = key[_runs(key)[0]]
+        p = np.empty(len(key), np.float32)
+        replies = sorted((kind[i], i) for i in np.flatnonzero(kind >= 0).tolist())
+        p[np.argsort(_bucket(key, buckets), kind="stable")] = np.concatenate([np.frombuffer(t["p"][i].as_py(), "<f4") for _, i in replies])
+        logs = []
+        for texts in kept:
+            at, starts = contexts(texts)
+            order = np.argsort(at)
+            first, group = _runs(at[order])
+            log = np.empty(len(at))
+            log[order] = p[np.searchsorted(key, at[order[first]])][group]
+            logs += np.add.reduceat(log, starts).tolist()
+        rows = [(*r[:-1], log, r[-1]) for r, log in zip(rows, logs, strict=True)]
         return pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema=target)
 
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]
-    target = pa.schema([(c, pa.bool_() if c == "held_out" else pa.float64() if "score" in c else pa.int64()) for c in names])
-    out = blocks.packed(docs).groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(sums, SCHEMA)
+    out = sent.groupBy("unit").applyInArrow(sums, SCHEMA)
     # Bits that the model needs for each byte of the text.
     return out.withColumn("bits_per_byte", -F.col("score") / F.log10(F.lit(2.0)) / F.greatest(F.col("n_bytes"), F.lit(1)))

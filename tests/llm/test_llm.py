@@ -135,6 +135,61 @@ def test_scoring(docs):
         assert got[i]["n_known"] == sum(counts[x] > 0 for x in w) and got[i]["train_tokens"] == n and got[i]["score"] < 0
 
 
+def brute_model(texts):
+    """log10 of a byte after others by context trees over running texts, node by node."""
+    D, seen, kids = scoring.DEPTH, {}, collections.defaultdict(set)
+    steps = lambda t: [(t[k - D : k], t[k]) for k in range(D, len(t))]
+    bits = lambda c: [((1 << b) | c >> (8 - b), c >> (7 - b) & 1) for b in range(8)]
+    for t in texts:
+        for past, c in steps(b" " * D + t):
+            for d in range(D + 1):
+                for node, bit in bits(c):
+                    seen.setdefault((past[D - d :], node), [0, 0])[bit] += 1
+                    if d < D:
+                        kids[past[D - d :], node].add((past[D - d - 1 :], node))
+    own = lambda x: float(scoring.log_kt(*(np.array([v]) for v in seen[x]))[0])
+    whole = functools.lru_cache(None)(lambda x: np.logaddexp(own(x), sum(whole(k) for k in kids[x])) - np.log(2) if x in kids else own(x))
+
+    def one(past, node, d=0):
+        x = (past[D - d :], node)
+        n0, n1 = seen[x]
+        p = (n1 + 0.5) / (n0 + n1 + 1)
+        if d == D or (past[D - d - 1 :], node) not in seen:
+            return p
+        w = np.exp(own(x) - np.log(2) - whole(x))
+        return w * p + (1 - w) * one(past, node, d + 1)
+
+    def log10(t):
+        total = 0
+        for past, c in steps(b" " * D + t):
+            for node, bit in bits(c):
+                q = one(past, node) if (b"", node) in seen else 0.5
+                total += np.log10(q if bit else 1 - q)
+        return total
+
+    return log10
+
+
+def test_scores_are_of_the_running_text(spark):
+    words_ = [w.lower() for w in prose(60).split()]
+    texts = [" ".join(words_), " ".join(words_[::-1]), " ".join(words_[20:40]), None, "new wörds " + words_[3]] * 3
+    got = by_id(scoring.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), depth_docs=6))
+    running = [b" ".join([*words(t, True), b"\n"]) for t in texts]
+    log10 = brute_model([t for i, t in enumerate(running) if not scoring.held_out(i)])
+    for i, t in enumerate(running):
+        assert got[i]["score"] == pytest.approx(log10(t), rel=1e-5)
+
+
+def test_word_order_counts(spark):
+    fluent = " ".join(f"{a} {b} {c}" for a, b, c in [("the", "small", "house")] * 40)
+    w = fluent.split()
+    R.shuffle(w)
+    held = [i for i in range(200) if scoring.held_out(i)][:2]
+    rows = [(i, fluent) for i in range(20) if i not in held] + [(held[0], fluent), (held[1], " ".join(w))]
+    got = by_id(scoring.score(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got[held[0]]["base_score"] == pytest.approx(got[held[1]]["base_score"]) and got[held[0]]["score"] > got[held[1]]["score"] / 2
+
+
 def test_context_tree_is_a_distribution():
     key, starts = scoring.contexts([b"ab", b"abc", b"\n"])
     forest = scoring.Forest(key, np.repeat([3, 2, 1], np.diff([*starts, len(key)])))
