@@ -221,6 +221,13 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_urls_of_repeated_and_null_pages(spark):
+    rows = [(1, "http://b.org/x?y"), (1, "http://b.org/x?y"), (1, "https://b.org/x#z"), (None, "http://b.org/x"), (None, "http://b.org/x"), (None, None), (2, "http://a.com/x")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string").repartition(3)).collect()
+    assert collections.Counter((r["page_id"], r["host"], r["path"]) for r in got) == {(1, "b.org", "/x"): 3, (None, "b.org", "/x"): 2, (None, "", ""): 1, (2, "a.com", "/x"): 1}
+    assert len({(r["score"], r["verdict"]) for r in got if r["host"] == "b.org"}) == 1
+
+
 def brute_groups(rows):
     """Shingle sets, and the least document that each one reaches."""
     sets = {}
