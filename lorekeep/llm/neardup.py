@@ -4,7 +4,7 @@ A text's set holds its distinct five-word shingles. Texts with equal sets form a
 has WIDE minima of BITS bits. The first SIZE of them stand in chunks of three: two signatures that differ in at most RADIUS of these differ,
 by pigeonhole, in at most one of some chunk; so each chunk is indexed once for every single one left out, and all pairs within RADIUS meet
 under some key. Pairs that meet stay candidates while they differ in at most FAR of all WIDE. Sets with similarity 0.75 differ in a quarter
-on average; more than RADIUS has a chance of 1.4e-7 there, more than FAR of 5e-6, and both less above.
+on average; more than RADIUS has a chance of 1.4e-7 there, more than FAR of 2.6e-8, and both less above.
 
 Pairs within a key are not listed. First every class is compared with the smallest class that it shares a key with, which joins most copies
 to one another. Then, in keys where several components still meet, the members outside the largest are compared with the others, in blocks of
@@ -28,7 +28,7 @@ from lorekeep.llm import arrow, blocks, graph
 
 SHINGLE, PERCENT = 5, 75
 SIZE, WIDE, CHUNK, BITS = 36, 128, 3, 16
-RADIUS, FAR = 2 * (SIZE // CHUNK) - 1, 54
+RADIUS, FAR = 2 * (SIZE // CHUNK) - 1, 60
 LEFT, RIGHT = 512, 4096  #: rows of a key that meet in one task
 _ODD = (np.random.default_rng(7).integers(0, 1 << 63, WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _XOR = np.random.default_rng(8).integers(0, 1 << 63, WIDE, dtype=np.uint64)

@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import math
 import random
 import zlib
 
@@ -251,6 +252,12 @@ def test_neardup(docs):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in root if root[i] == i}
 
 
+def test_filter_loses_hardly_a_link():
+    """The chance that a pair at exactly 0.75 differs in more than FAR minima."""
+    n = neardup.WIDE
+    assert sum(math.comb(n, k) * 0.25**k * 0.75 ** (n - k) for k in range(neardup.FAR + 1, n + 1)) < 1e-7
+
+
 def brute_lines(rows):
     """Texts without the runs of lines that occurred before."""
     seen, want = set(), {}
