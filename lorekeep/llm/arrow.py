@@ -43,8 +43,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of some texts: byte ``starts`` and ``ends`` in ``data``, and ``bounds``: text i has words bounds[i] to bounds[i + 1]."""
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value stands first in sorted order, and for each value which one it is."""
+    order = np.argsort(h)
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])[: len(h)]
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n[i] values from starts[i] on, for every i in turn."""
+    ends = np.cumsum(n)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - n), n)]
+
+
+def taken(values: list[bytes], which: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The values at ``which`` one after the other, and where each one starts (and the last ends)."""
+    if not len(which):
+        return memoryview(b""), np.zeros(1, np.int64)
+    _, offsets, data = pa.array(values, pa.large_binary()).take(pa.array(which)).buffers()
+    return memoryview(data) if data is not None else memoryview(b""), np.frombuffer(offsets, np.int64)[: len(which) + 1]
+
+
+class Spans:
+    """Parts of some texts: byte ``starts`` and ``ends`` in ``data`` (which has 8 bytes more), and ``bounds``: text i has spans bounds[i] to bounds[i + 1]."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    bounds: np.ndarray
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each span, from eight bytes at a time. Another seed gives one that is independent for spans of more than eight."""
+        size = self.ends - self.starts
+        eight = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
+        h = mix(size.astype(np.uint64) * _A + np.uint64(seed))
+        live, at = np.arange(len(size)), self.starts
+        while len(live):
+            rest = size[live]
+            v = eight[at] & _MASK[np.minimum(rest, 8)]
+            h[live] = mix((h[live] + _A) ^ v)
+            on = rest > 8
+            live, at = live[on], at[on] + 8
+            size = size - 8 if len(live) else size
+        return h
+
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
+        """Distinct spans by their hash, and for each span which one it is."""
+        first, which = distinct(self.hashes())
+        data = self.data.tobytes()
+        return [data[a:b] for a, b in zip(self.starts[first].tolist(), self.ends[first].tolist(), strict=True)], which
+
+
+class Words(Spans):
+    """Words ``[^\\x20\\x09-\\x0D]+`` of some texts."""
 
     def __init__(self, texts: list[bytes], lower: bool = False):
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -62,21 +115,6 @@ class Words:
         self.ends = np.flatnonzero(word & edge) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, from eight bytes at a time."""
-        size = self.ends - self.starts
-        eight = np.ndarray((len(self.data) - 7,), "<u8", self.data, strides=(1,))
-        h = mix(size.astype(np.uint64) * _A)
-        live, at = np.arange(len(size)), self.starts
-        while len(live):
-            rest = size[live]
-            v = eight[at] & _MASK[np.minimum(rest, 8)]
-            h[live] = mix((h[live] + _A) ^ v)
-            on = rest > 8
-            live, at = live[on], at[on] + 8
-            size = size - 8 if len(live) else size
-        return h
-
     def doc_of(self) -> np.ndarray:
         """Index of the text of each word."""
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
