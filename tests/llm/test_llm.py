@@ -95,6 +95,27 @@ def test_packing(docs):
         assert at <= 4096
 
 
+def test_word_ids_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    signs = "ab e'sStTrRvVeEmMlLdD0123.,!?#&\x00\x1c\x1f\x0b\r\n\t éÉàÀßÿ×÷ \x85\xa0—日本😀é İΣ<|endoftext|>"
+    odd = ["".join(R.choice(signs) for _ in range(R.randint(0, 60))) for _ in range(3000)]
+    odd += ["", " ", "\n", "a" * 500, "x" * 64, "x" * 65, "=" * 70 + " b", "<|endoftext|>", "a<|endoftext|>b <|", "'s 'S don't I'LL it''s"]
+    ids, bounds = encode([t.encode() for t in odd])
+    for t, a, b in zip(odd, bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == own.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "same text here", "x")] * 9000 + [(None, None, "y")], "doc_id long, text string, length string")
+    out = packing.documents(rows, public_tokenizers.path("word_bpe_49k.json"))
+    assert out.count() == 9001
+    per = out.groupBy((F.col("sequence_id") / (1 << 32)).cast("long")).count().agg(F.max("count")).first()[0]
+    assert per < 2 * packing.GROUP  # equal rows are spread over groups
+
+
 def test_first_fit_matches_a_scan():
     for _ in range(50):
         sizes = sorted((R.randint(1, 100) for _ in range(R.randint(1, 60))), reverse=True)
@@ -115,9 +136,14 @@ def test_pieces(docs):
     sp, encoder = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Encoder(path)
     odd = ["", "\n", "  a  b ", "\n\n x", "▁a ▁▁b", "日本語 😀😀", "\t\tfoo\r\nbar  ", "a" * 500, "x\x00y", "<s> </s>", " ", "1234"]
     odd += ["".join(R.choice("ab e\n▁ thniosr,.é") for _ in range(R.randint(1, 60))) for _ in range(2000)]
-    for t, (ids, text) in zip(odd, encoder.encode(odd), strict=True):
+    for t, (ids, text, n) in zip(odd, encoder.encode([t.encode() for t in odd]), strict=True):
         want = sp.encode(t)
-        assert ids.decode() == ",".join(map(str, want)) and text.decode() == sp.decode(want)
+        assert bytes(ids).decode() == ",".join(map(str, want)) and bytes(text).decode() == sp.decode(want) and n == len(want)
+    # The table's tokens are those of joining pairs by definition.
+    for t in odd[:300]:
+        part = pieces.MARK + t.replace(" ", "").replace(pieces.MARK, "").replace("\n", "")
+        assert encoder.tokens(part) == encoder.merged(part)
+    assert {r["doc_id"]: r["ids"] for r in pieces.encode(docs, path).collect()} == {i: sp.encode(t or "") for i, t in corpus()}
     got = by_id(pieces.digests(docs, path))
     for i, t in corpus():
         assert got[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, sp.encode(t or ""))).encode()).hexdigest()
