@@ -31,6 +31,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SL
             a = b
 
 
+def copied(rb: pa.RecordBatch) -> pa.RecordBatch:
+    return rb.take(pa.array(np.arange(rb.num_rows)))
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """Texts as bytes; null is empty."""
     return pc.fill_null(column.cast(pa.binary()), b"").to_pylist()
@@ -130,13 +134,24 @@ class Words(Spans):
         return mix(w), np.arange(n) + k <= last
 
 
-def pack(table: pa.Table | pa.RecordBatch) -> bytes:
+def pack(table: pa.Table | pa.RecordBatch, level: int = 1) -> bytes:
     """A table as one compressed value."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as out:
         out.write(table)
     return sink.getvalue().to_pybytes()
 
 
 def unpack(value: bytes) -> pa.Table:
     return pa.ipc.open_stream(value).read_all()
+
+
+def packed(a: np.ndarray) -> bytes:
+    """Whole numbers as differences, all lowest bytes first, compressed."""
+    d = np.diff(a.view(np.int64), prepend=np.int64(0))
+    return pa.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(blob, 8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view(np.int64).ravel())

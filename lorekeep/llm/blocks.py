@@ -1,4 +1,4 @@
-"""Blocks of the input, lists and tables that travel as single values, and checkpoints."""
+"""Units of the input that travel as single values, and tables written on the way."""
 
 from __future__ import annotations
 
@@ -7,53 +7,58 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lorekeep.llm import arrow
 
+UNIT, LEVEL = 8 << 20, 6  #: bytes of text in a unit (or one longer text), and how hard they are compressed, as units may be exchanged more than once
+
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared checkpoint folder and read again: lineage is cut and nothing is computed twice."""
-    return df.sparkSession.read.schema(df.schema).parquet(_write(df))
+    """``df``, written to the shared checkpoint folder and read again: lineage is cut and nothing is computed twice. The folder goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{folder(spark).rstrip('/')}/lorekeep-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of our own only where it names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """The shared folder that the cluster names. Only a session within one process, as in tests, may do without: it has one of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
-def _write(df: DataFrame) -> str:
-    path = f"{folder(df.sparkSession).rstrip('/')}/lorekeep-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return path
-
+def units(docs: DataFrame, size: int = UNIT) -> DataFrame:
+    """``unit``, ``bytes``, ``blob``: rows (``doc_id``, ``text``), compressed, ``size`` bytes of text in each value or one longer text.
 
-def with_block(docs: DataFrame) -> DataFrame:
-    """Adds ``block``, which names the part of an input file that a row comes from. It is the same whenever the files are read again, however tasks are made up.
-
-    Rows that don't come from files are written first.
+    They are written once, so a unit is the same whenever it is read, however tasks are made up and whatever executors are lost.
     """
-    if not docs.inputFiles():
-        docs = saved(docs)
-    return docs.withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
 
-def by_block(batches: Iterator[pa.RecordBatch], size: int = arrow.SLICE) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Slices of rows of one block each."""
-    for rb in arrow.slices(batches, size=size):
-        ids = rb["block"].to_numpy(zero_copy_only=False)
-        a = 0
-        while a < len(ids):
-            b = a + int((ids[a:] == ids[a]).argmin()) if (ids[a:] != ids[a]).any() else len(ids)
-            yield int(ids[a]), rb.slice(a, b - a)
-            a = b
+        def unit() -> pa.RecordBatch:
+            blob = arrow.pack(pa.Table.from_batches(held).combine_chunks(), LEVEL)
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([n], pa.int64()), pa.array([blob], pa.binary())], names=["unit", "bytes", "blob"])
 
+        for rb in arrow.slices(batches, size=min(size, arrow.SLICE)):
+            if held and n + rb["text"].nbytes > size:
+                yield unit()
+                held, n = [], 0
+            # A copy, as a slice keeps its whole batch.
+            held.append(arrow.copied(rb))
+            n += rb["text"].nbytes
+        if held:
+            yield unit()
 
-def packed(docs: DataFrame) -> DataFrame:
-    """``block``, ``blob``: rows (``doc_id``, ``text``) of a block, compressed, a few MB of text in each value."""
+    return saved(docs.select("doc_id", "text").mapInArrow(run, "unit long, bytes long, blob binary"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rb in by_block(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([arrow.pack(rb.select(["doc_id", "text"]))], pa.binary())], names=["block", "blob"])
 
-    return docs.select("block", "doc_id", "text").mapInArrow(run, "block long, blob binary")
+def opened(blob: pa.Scalar | bytes) -> list[pa.RecordBatch]:
+    """A unit's rows, a few MB at a time."""
+    return list(arrow.slices(iter(arrow.unpack(blob if isinstance(blob, bytes) else blob.as_py()).to_batches())))

@@ -18,7 +18,6 @@ each time.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -191,36 +190,6 @@ def _one(columns: dict, types: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in columns.items()], names=list(columns))
 
 
-def _packed(a: np.ndarray) -> bytes:
-    """Whole numbers as differences, all lowest bytes first, compressed."""
-    d = np.diff(a.astype(np.int64), prepend=np.int64(0))
-    return pa.compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
-
-
-def _unpacked(blob: bytes, n: int) -> np.ndarray:
-    raw = np.frombuffer(pa.decompress(blob, 8 * n, codec="zstd", asbytes=True), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view(np.int64).ravel())
-
-
-def _units(docs: DataFrame) -> DataFrame:
-    """``unit``, ``blob``: rows (``doc_id``, ``text``), written once, so that a unit is the same whenever it is read."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        unit = lambda: _one({"unit": [uuid.uuid4().int >> 65], "blob": [arrow.pack(pa.Table.from_batches(held).combine_chunks())]}, {"unit": pa.int64(), "blob": pa.binary()})
-        for rb in arrow.slices(batches):
-            if held and size + rb["text"].nbytes > UNIT:
-                yield unit()
-                held, size = [], 0
-            # A copy, as a slice keeps its whole batch.
-            held.append(rb.take(pa.array(np.arange(rb.num_rows))))
-            size += rb["text"].nbytes
-        if held:
-            yield unit()
-
-    return blocks.saved(docs.select("doc_id", "text").mapInArrow(run, "unit long, blob binary"))
-
-
 def _slices(blob: bytes) -> Iterator[tuple[list, list[list[bytes]], list[int]]]:
     """Ids, words and sizes in bytes of a unit's rows, a few MB at a time."""
     for rb in arrow.slices(iter(arrow.unpack(blob).to_batches())):
@@ -313,7 +282,7 @@ def _asks(units: DataFrame, buckets: int) -> DataFrame:
                 order = np.argsort(_bucket(key, buckets), kind="stable")
                 key, n = key[order], n[order]
                 cut = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1))
-                rows = [(b, unit, y - x, _packed(key[x:y]), _packed(n[x:y])) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
+                rows = [(b, unit, y - x, arrow.packed(key[x:y]), arrow.packed(n[x:y])) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
                 yield _one(dict(zip(types, map(list, zip(*rows, strict=True)), strict=True)), types)
 
     return units.mapInArrow(run, "bucket long, unit long, size long, keys binary, counts binary")
@@ -321,12 +290,12 @@ def _asks(units: DataFrame, buckets: int) -> DataFrame:
 
 def _bucketed(t: pa.Table) -> pa.Table:
     """A bucket in one row: its contexts with bytes, their counts, where each unit's are among them, and the bucket's share of the top."""
-    keys = [_unpacked(k, n) for k, n in zip(t["keys"].to_pylist(), t["size"].to_pylist(), strict=True)]
-    counts = [_unpacked(k, n) for k, n in zip(t["counts"].to_pylist(), t["size"].to_pylist(), strict=True)]
+    keys = [arrow.unpacked(k, n) for k, n in zip(t["keys"].to_pylist(), t["size"].to_pylist(), strict=True)]
+    counts = [arrow.unpacked(k, n) for k, n in zip(t["counts"].to_pylist(), t["size"].to_pylist(), strict=True)]
     key, n = _summed(np.concatenate(keys), np.concatenate(counts))
     top = arrow.pack(pa.table(dict(zip(("entry", "n0", "n1", "below"), Forest(key, n).top, strict=True))))
-    where = [_packed(np.searchsorted(key, k)) for k in keys]
-    row = {"bucket": [t["bucket"][0].as_py()], "size": [len(key)], "keys": [_packed(key)], "counts": [_packed(n)], "units": [t["unit"].to_pylist()], "sizes": [t["size"].to_pylist()], "places": [where], "top": [top]}
+    where = [arrow.packed(np.searchsorted(key, k)) for k in keys]
+    row = {"bucket": [t["bucket"][0].as_py()], "size": [len(key)], "keys": [arrow.packed(key)], "counts": [arrow.packed(n)], "units": [t["unit"].to_pylist()], "sizes": [t["size"].to_pylist()], "places": [where], "top": [top]}
     return pa.table(row, schema=pa.schema([("bucket", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("units", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.list_(pa.binary())), ("top", pa.binary())]))
 
 
@@ -334,7 +303,7 @@ def score(docs: DataFrame, depth_docs: int = PART_DOCS) -> DataFrame:
     """Scores of every row of ``docs`` (``doc_id``, ``text``), learnt from those not held out."""
     parts = max(1, -(-docs.count() // depth_docs))
     buckets = BUCKETS * parts
-    units = _units(docs)
+    units = blocks.units(docs, UNIT)
     words = blocks.saved(_words(units, parts).groupBy("part").applyInArrow(_counts, "unit long, blob binary, tokens long, distinct long"))
     total = words.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
     tokens, distinct = total["n"] or 0, total["v"] or 0
@@ -354,10 +323,10 @@ def score(docs: DataFrame, depth_docs: int = PART_DOCS) -> DataFrame:
         for rb in batches:
             for i in range(rb.num_rows):
                 r = {c: rb[c][i].as_py() for c in rb.schema.names}
-                key, n = _unpacked(r["keys"], r["size"]), _unpacked(r["counts"], r["size"])
+                key, n = arrow.unpacked(r["keys"], r["size"]), arrow.unpacked(r["counts"], r["size"])
                 p = top.log10(key, Forest(key, n).ones(key)).astype("<f4")
                 for unit, size, place in zip(r["units"], r["sizes"], r["places"], strict=True):
-                    yield _one({"unit": [unit], "bucket": [r["bucket"]], "p": [p[_unpacked(place, size)].tobytes()]}, types)
+                    yield _one({"unit": [unit], "bucket": [r["bucket"]], "p": [p[arrow.unpacked(place, size)].tobytes()]}, types)
 
     answers = forests.drop("top").mapInArrow(answer, "unit long, bucket long, p binary")
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"]

@@ -1,18 +1,21 @@
 """Substring dedup: windows of WINDOW words that occur in an earlier document are removed.
 
-Every window of every text gets a Rabin-Karp hash, and Spark counts them. Hashes travel as packed lists, one for each block of the input and
-each range of hash values, not as rows. Three passes, none of which holds more than a block or a range:
+Every window of every text gets a Rabin-Karp hash, and Spark counts them. Hashes travel as packed lists, one for each unit of the input (some
+MB of text, written once) and each range of hash values, not as rows. Three passes, none of which holds more than a unit or a range:
 
-1. each block sends its distinct hashes (the 32 bits below those that name the range) and learns, one bit each, which may occur in another
-   block too;
-2. for those, and those that two documents of the block share, it sends the full hash, a second independent hash and the smallest document,
-   and learns, one bit each, whether a smaller document has that window elsewhere;
-3. windows found in a smaller document merge into maximal intervals, and the words they cover go.
+1. each unit sends its distinct hashes (the 32 bits below those that name the range) and learns, one bit each, which may occur in another
+   unit too;
+2. for those, and those that two documents of the unit share, it sends the full hash, a second hash of independent word hashes and the
+   smallest document, and learns, one bit each, whether a smaller document has that window elsewhere;
+3. windows found in a smaller document merge into maximal intervals, and the words they cover go. What a unit sent is worked out again
+   rather than sent back.
 
-A hot window is one entry for each block that has it, never one for each document. Text travels compressed.
+A hot window is one entry for each unit that has it, never one for each document. The number of ranges follows the bytes of text, so a range
+has about the same size at any scale. Text travels compressed.
 
 Defined results: a null or empty text, or one with fewer than WINDOW words, loses nothing; rows with equal ids count as one document, so
-their common windows stay; an empty table gives an empty result.
+their common windows stay; a null id is neither smaller nor larger than another, so its row loses nothing and costs no other row anything; a
+very long text is a unit by itself; only ``doc_id`` and ``text`` are read, so other columns can't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,56 +27,66 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lorekeep.llm import arrow, blocks
 
 WINDOW = 13
-RANGE_DOCS = 2048
+RANGE = 16 << 20  #: bytes of text for each range of hash values
 SECOND = 0xD1342543DE82EF95
+LAST = np.iinfo(np.int64).max  #: stands for a null id, which comes after all others
 
 
 class Block:
-    """The windows of the documents of one block, in reading order."""
+    """The windows of the documents of one unit, in reading order."""
 
     def __init__(self, batches: list[pa.RecordBatch], size: int, second: bool = False):
-        docs, hashes, others, bounds = [], [], [], []
+        docs, hashes, others, bounds, known = [], [], [], [], []
         self.slices = []
         for rb in batches:
-            ids = rb["doc_id"].to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(rb["doc_id"], LAST).to_numpy(zero_copy_only=False)
+            named = pc.is_valid(rb["doc_id"]).to_numpy(zero_copy_only=False)
             words = arrow.Words(arrow.utf8(rb["text"]))
-            h = words.hashes()
-            w, whole = words.windows(size, h)
-            doc = ids[words.doc_of()] if len(h) else np.zeros(0, np.int64)
-            docs.append(doc[whole])
+            w, whole = words.windows(size, words.hashes())
+            at = words.doc_of()[whole]
+            docs.append(ids[at])
+            known.append(named[at])
             hashes.append(w[whole])
             if second:
-                others.append(words.windows(size, h, SECOND)[0][whole])
-            self.slices.append((ids, words, whole))
+                others.append(words.windows(size, words.hashes(1), SECOND)[0][whole])
+            self.slices.append((rb["doc_id"].to_pylist(), words, whole))
             bounds.append(int(whole.sum()))
-        self.doc = np.concatenate(docs).astype(np.int64)
+        self.doc, self.named = np.concatenate(docs), np.concatenate(known)
         self.hash = np.concatenate(hashes)
         self.other = np.concatenate(others) if second else None
         self.bounds = np.concatenate([[0], np.cumsum(bounds)])
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes, sorted; for each window which one it has; and for each whether two documents have it."""
-        order = np.lexsort((self.doc, self.hash))
-        h, d = self.hash[order], self.doc[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-        which = np.empty(len(h), np.int64)
-        group = np.cumsum(new) - 1
-        which[order] = group
+        first, which = arrow.distinct(self.hash)
+        least, most = np.full(len(first), LAST), np.full(len(first), np.iinfo(np.int64).min)
+        np.minimum.at(least, which, self.doc)
+        np.maximum.at(most, which, self.doc)
+        return self.hash[first], which, least != most
+
+    def sent(self, elsewhere: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First and second hash and smallest document of the windows that another unit or another document here may have too, by hashes; then all
+        occurrences of these in order, and which of them each one is."""
+        _, which, shared = self.distinct()
+        take = np.flatnonzero((shared | elsewhere)[which])
+        order = take[np.lexsort((self.other[take], self.hash[take]))]
+        a, b = self.hash[order], self.other[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
         first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(h)]]) - 1 if len(first) else first
-        return h[first], which, d[first] != d[last] if len(first) else np.zeros(0, bool)
+        least = np.minimum.reduceat(self.doc[order], first) if len(first) else self.doc[:0]
+        return a[first], b[first], least, order, np.cumsum(new) - 1
 
 
 def _ranges(h: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(range, from, to) of sorted hashes, by their top bits."""
+    """(range, from, to) of sorted hashes, by their top bits; none of no hashes."""
     top = (h >> np.uint64(64 - bits)).astype(np.int64)
-    at = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]])) if len(top) else []
-    ends = [*at[1:], len(top)]
-    return [(int(top[a]), int(a), int(b)) for a, b in zip(at, ends, strict=True)]
+    at = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]])[: len(top)]).tolist()
+    return [(int(top[a]), a, b) for a, b in zip(at, [*at[1:], len(top)], strict=False)]
 
 
 def _in_other_block(lists: list[np.ndarray]) -> list[np.ndarray]:
@@ -90,101 +103,70 @@ def _member(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[i] == x
 
 
-def _bits(replies: pa.Table, n: int) -> np.ndarray:
-    """The flags of a block's distinct hashes, from the replies of all ranges in order."""
+def _bits(replies: pa.Table) -> np.ndarray:
+    """The flags of what a unit sent, from the replies of all ranges in order."""
     order = np.argsort(replies["range"].to_numpy())
     flags = replies["flags"].to_pylist()
     sizes = replies["n"].to_pylist()
-    return np.concatenate([np.unpackbits(np.frombuffer(flags[i], np.uint8), count=sizes[i]).astype(bool) for i in order.tolist()] or [np.zeros(0, bool)])[:n]
+    return np.concatenate([np.unpackbits(np.frombuffer(flags[i], np.uint8), count=sizes[i]).astype(bool) for i in order.tolist()] or [np.zeros(0, bool)])
 
 
-REPLY = "block long, range long, n long, flags binary"
+FIRST = "unit long, range long, n long, low binary"
+SENT = "unit long, range long, n long, a binary, b binary, d binary"
+REPLY = "unit long, range long, n long, flags binary"
 
 
 def _reply(block: list[int], at: int, flags: list[np.ndarray]) -> pa.Table:
-    return pa.table({"block": pa.array(block, pa.int64()), "range": pa.array([at] * len(block), pa.int64()), "n": pa.array(map(len, flags), pa.int64()), "flags": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())})
+    return pa.table({"unit": pa.array(block, pa.int64()), "range": pa.array([at] * len(block), pa.int64()), "n": pa.array(map(len, flags), pa.int64()), "flags": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary())})
 
 
-def _tables(blobs: pa.ChunkedArray) -> list[pa.RecordBatch]:
-    return [b for blob in blobs.to_pylist() for b in arrow.unpack(blob).to_batches()]
-
-
-def dedup(docs: DataFrame, size: int = WINDOW, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, size: int = WINDOW, texts: bool = False, unit: int = blocks.UNIT) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256`` (and ``text``, the kept words, if asked for) of every row of ``docs``."""
-    docs = blocks.with_block(docs.select("doc_id", "text"))
-    bits = max(1, min(24, (docs.count() // RANGE_DOCS).bit_length()))
+    units = blocks.units(docs, unit)
+    # 32 bits below those that name a range are sent, so that 32 at most may name it: enough for 2^32 ranges.
+    bits = max(1, min(32, ((units.agg(F.sum("bytes")).first()[0] or 0) // RANGE).bit_length()))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []
-
-        def send() -> pa.RecordBatch:
-            h, _, _ = Block(own, size).distinct()
-            low = (h >> np.uint64(32 - bits)).astype("<u4")
-            rows = [(at, r, low[a:b].tobytes()) for r, a, b in _ranges(h, bits)]
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["block", "range", "low"])
-
-        for block, rb in blocks.by_block(batches):
-            if own and block != at:
-                yield send()
-                own = []
-            at = block
-            own.append(rb)
-        if own:
-            yield send()
+        for rb in batches:
+            for at, blob in zip(rb["unit"].to_pylist(), rb["blob"], strict=True):
+                h, _, _ = Block(blocks.opened(blob), size).distinct()
+                low = (h >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
+                yield _rows(FIRST, [(at, r, b - a, arrow.packed(low[a:b])) for r, a, b in _ranges(h, bits)])
 
     def count(t: pa.Table) -> pa.Table:
         # Values whose low 32 bits meet within a block may stand for different windows; each keeps its place.
-        lists = [np.frombuffer(x, "<u4") for x in t["low"].to_pylist()]
+        lists = [arrow.unpacked(x, n) for x, n in zip(t["low"].to_pylist(), t["n"].to_pylist(), strict=True)]
         flags = _in_other_block([np.unique(x) for x in lists])
-        return _reply(t["block"].to_pylist(), t["range"][0].as_py(), [f[np.searchsorted(np.unique(x), x)] for f, x in zip(flags, lists, strict=True)])
+        return _reply(t["unit"].to_pylist(), t["range"][0].as_py(), [f[np.searchsorted(np.unique(x), x)] for f, x in zip(flags, lists, strict=True)])
 
-    counted = docs.mapInArrow(first, "block long, range long, low binary").groupBy("range").applyInArrow(count, REPLY)
-    packed = blocks.packed(docs)
+    counted = blocks.saved(units.mapInArrow(first, FIRST).groupBy("range").applyInArrow(count, REPLY))
 
     def second(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        own = Block(_tables(left["blob"]), size, second=True)
-        h, which, shared = own.distinct()
-        wanted = shared | _bits(right, len(h))
-        take = np.flatnonzero(wanted[which])
-        # The smallest document of each window, with the window's second hash.
-        order = take[np.lexsort((own.doc[take], own.other[take], own.hash[take]))]
-        a, b, d = own.hash[order], own.other[order], own.doc[order]
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-        a, b, d = a[new], b[new], d[new]
-        rows = [(key[0].as_py(), r, arrow.pack(pa.table({"a": a[x:y], "b": b[x:y], "d": d[x:y]}))) for r, x, y in _ranges(a, bits)]
-        return pa.table({c: pa.array([x[i] for x in rows], k) for i, (c, k) in enumerate((("block", pa.int64()), ("range", pa.int64()), ("blob", pa.binary())))})
+        own = Block(blocks.opened(left["blob"][0]), size, second=True)
+        a, b, d, _, _ = own.sent(_bits(right))
+        rows = [(key[0].as_py(), r, y - x, arrow.packed(a[x:y]), b[x:y].tobytes(), arrow.packed(d[x:y])) for r, x, y in _ranges(a, bits)]
+        return pa.Table.from_batches([_rows(SENT, rows)])
 
     def smallest(t: pa.Table) -> pa.Table:
-        lists = [arrow.unpack(x) for x in t["blob"].to_pylist()]
-        a, b, d = (np.concatenate([x[c].to_numpy() for x in lists]) for c in "abd")
+        lists = _opened(t)
+        a, b, d = (np.concatenate(c) for c in zip(*lists, strict=True))
         order = np.lexsort((d, b, a))
         new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
         least = np.empty(len(d), np.int64)
         least[order] = d[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        cuts = np.cumsum([x.num_rows for x in lists])[:-1]
-        return _reply(t["block"].to_pylist(), t["range"][0].as_py(), np.split(least < d, cuts))
+        cuts = np.cumsum([len(x[0]) for x in lists])[:-1]
+        return _reply(t["unit"].to_pylist(), t["range"][0].as_py(), np.split(least < d, cuts))
 
-    shared = packed.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(second, "block long, range long, blob binary")
+    shared = units.groupBy("unit").cogroup(counted.groupBy("unit")).applyInArrow(second, SENT)
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * texts
 
     def third(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        own = Block(_tables(left["blob"]), size, second=True)
-        sent = right.filter(pc.is_valid(right["blob"]))
-        sent = sent.take(pc.sort_indices(sent["range"])) if sent.num_rows else sent
-        lists = [arrow.unpack(x) for x in sent["blob"].to_pylist()]
-        flags = _bits(right.filter(pc.is_valid(right["flags"])), sum(x.num_rows for x in lists))
+        own = Block(blocks.opened(left["blob"][0]), size, second=True)
+        again = right["last"].to_numpy(zero_copy_only=False).astype(bool)
+        _, _, d, order, which = own.sent(_bits(right.filter(pa.array(~again))))
+        flags = _bits(right.filter(pa.array(again)))
         gone = np.zeros(len(own.doc), bool)
-        if lists:
-            a, b, d = (np.concatenate([x[c].to_numpy() for x in lists]) for c in "abd")
-            # Windows of this block that were sent: place of each in what was sent.
-            i = np.searchsorted(a, own.hash)
-            live = np.flatnonzero((i < len(a)) & (a[np.minimum(i, len(a) - 1)] == own.hash))
-            at = i[live]
-            for _ in range(8):  # equal first hashes stand together; more than a few never occur
-                off = (b[at] != own.other[live]) & (at + 1 < len(a))
-                at = np.where(off & (a[np.minimum(at + 1, len(a) - 1)] == own.hash[live]), at + 1, at)
-            same = b[at] == own.other[live]
-            gone[live] = same & (flags[at] | (d[at] < own.doc[live]))
+        gone[order] = own.named[order] & (flags[which] | (d[which] < own.doc[order]))
         out = {c.split()[0]: [] for c in kinds.split(", ")}
         for (ids, words, whole), x in zip(own.slices, own.bounds[:-1].tolist(), strict=True):
             hit = np.zeros(len(whole), np.int64)
@@ -194,7 +176,7 @@ def dedup(docs: DataFrame, size: int = WINDOW, texts: bool = False) -> DataFrame
             # A window that covers a word starts at most size - 1 words before it, in the same text.
             cover = sums[n + 1] - sums[np.maximum(n + 1 - size, np.repeat(words.bounds[:-1], np.diff(words.bounds)))] > 0
             data = words.data.tobytes()
-            for k, doc in enumerate(ids.tolist()):
+            for k, doc in enumerate(ids):
                 p, q = int(words.bounds[k]), int(words.bounds[k + 1])
                 keep = ~cover[p:q]
                 all_words = data[words.starts[p] : words.ends[q - 1]].split() if q > p else []
@@ -204,7 +186,17 @@ def dedup(docs: DataFrame, size: int = WINDOW, texts: bool = False) -> DataFrame
                     out[c].append(v)
         return pa.table({c: pa.array(v, pa.string() if c in ("kept_sha256", "text") else pa.int64()) for c, v in out.items()})
 
-    kept = blocks.saved(shared)  # needed again to read the replies
-    verdicts = kept.groupBy("range").applyInArrow(smallest, REPLY)
-    both = kept.select("block", "range", "blob").unionByName(verdicts, allowMissingColumns=True)
-    return packed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(third, kinds)
+    verdicts = shared.groupBy("range").applyInArrow(smallest, REPLY)
+    both = counted.withColumn("last", F.lit(False)).unionByName(verdicts.withColumn("last", F.lit(True)))
+    return units.groupBy("unit").cogroup(both.groupBy("unit")).applyInArrow(third, kinds)
+
+
+def _rows(kinds: str, rows: list[tuple]) -> pa.RecordBatch:
+    names, types = zip(*(c.split() for c in kinds.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.binary() if t == "binary" else pa.int64()) for i, t in enumerate(types)], names=list(names))
+
+
+def _opened(sent: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First and second hashes and documents of each row."""
+    a, n, b, d = (sent[c].to_pylist() for c in ("a", "n", "b", "d"))
+    return [(arrow.unpacked(x, k).view(np.uint64), np.frombuffer(y, "<u8"), arrow.unpacked(z, k)) for x, k, y, z in zip(a, n, b, d, strict=True)]
