@@ -1,11 +1,17 @@
 """Document fingerprints: SimHash and a search within a Hamming radius.
 
-Terms are pairs of neighbouring words (the word itself in a text of one), weighted by their length, as longer ones are rarer. Each bit of a term's hash votes
-with its weight for or against the fingerprint's bit. Permuted block tables find all fingerprints within RADIUS: 64 bits make five blocks,
-three differing bits leave two blocks equal, so each fingerprint stands in ten tables, one for every two blocks.
-
-Defined results: a null or empty text, or one without words, has fingerprint 0; of rows with equal ids, one serves as another document's neighbour; a document
-alone is its own next one; an empty table gives an empty result.
+Terms are pairs of neighbouring words (the word itself in a text of one), weighted by the bytes of their words, as longer ones are rarer; a
+word counts LONGEST bytes at most, so that one long token can't outvote a text. Each bit of a term's hash votes with its weight for or
+against the fingerprint's bit. Permuted block tables find all fingerprints within RADIUS: 64 bits make five blocks, three differing bits leave
+two blocks equal, so each fingerprint stands in ten tables, one for every two blocks.
+
+Documents meet their next ones in order: rows are dealt by ranges of ids and sorted there; what a range can't settle are the rows of its
+smallest id, which take the first row of a range below.
+
+Defined results: every row is returned; a null or empty text, or one without words, has fingerprint 0; a null id comes after all others; rows
+with equal ids (null ids too) have the same next document, and as another's next one that with the least hash of its text serves; a document
+alone is its own next one; a very long text is taken whole, by itself; only ``doc_id`` and ``text`` are read, so other columns can't clash; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,7 +22,8 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm import arrow, blocks
@@ -25,13 +32,13 @@ RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  #: first bit and width
 TABLES = tuple(combinations(range(len(BLOCKS)), 2))
 CELL = 2048  #: entries of a table that meet others in one task
-SPAN = 2048  #: ids that are read in order together
+LONGEST = 24  #: bytes of a word that count
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
     """64 bits for each text."""
     words = arrow.Words(texts)
-    h, size = words.hashes(), np.minimum(words.ends - words.starts, 24)
+    h, size = words.hashes(), np.minimum(words.ends - words.starts, LONGEST)
     n = np.diff(words.bounds)
     out = np.zeros(len(texts), np.uint64)
     if not len(h):
@@ -56,47 +63,78 @@ def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 1 - np.bitwise_count(a ^ b) / 64
 
 
-def _ordered(docs: DataFrame) -> DataFrame:
-    """Every row, and for each span of ids the document that follows it downwards (``extra``), by span and then in descending order."""
-    rows = docs.select(F.floor(F.col("doc_id") / SPAN).alias("span"), F.lit(0).alias("extra"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # The largest document of each span, and the span above that needs it; the lowest needs the largest of all.
-    tops = rows.groupBy("span").agg(F.max(F.struct("doc_id", "text")).alias("top"))
-    spans = rows.groupBy("span").agg(F.lit(1).alias("one")).select("span")
-    above = spans.select("span", F.lead("span").over(Window.orderBy("span")).alias("to"), F.min("span").over(Window.partitionBy(F.lit(1))).alias("lowest"))
-    extras = tops.join(above, "span").select(F.coalesce("to", "lowest").alias("span"), F.lit(1).alias("extra"), F.col("top.doc_id").alias("doc_id"), F.col("top.text").alias("text"))
-    return rows.unionByName(extras).repartition("span").sortWithinPartitions("span", "extra", F.desc("doc_id"), "text")
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint long, edited_fingerprint long, near_edited double, near_next double"
+NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint long, edited_fingerprint long, near_edited double, near_next double"
+def _compared(ids: list, own: list[str], after: list[str]) -> list[pa.Array]:
+    """The columns of SCHEMA for texts and their next ones."""
+    raw = [(t[: len(t) - len(t) // 2] + x[: len(t) // 2]).encode() for t, x in zip(own, after, strict=True)]
+    f, g, h = fingerprints([t.encode() for t in own]), fingerprints(raw), fingerprints([t.encode() for t in after])
+    columns = (pa.array(ids, pa.int64()), pa.array(map(len, own), pa.int64()), [hashlib.sha256(t).hexdigest() for t in raw], f.view(np.int64), g.view(np.int64), _likeness(f, g), _likeness(f, h))
+    return [pa.array(c) for c in columns]
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text: its last half gives way to the beginning of the next document."""
+    """Fingerprints of every text and of its edited text: its last half gives way to the beginning of the next document.
+
+    The table written on the way has finished rows, and for each range a row with its first document (``head``) and the rows of its
+    smallest id with their texts (``tail``). Rows of one id that are more than should be held at once are tails too, with their next
+    document after them (``inner``).
+    """
+    columns = pa.schema([(c, pa.string() if c == "edited_sha256" else pa.float64() if c.startswith("near") else pa.int64()) for c in NAMES])
+    whole = columns.append(pa.field("part", pa.int64())).append(pa.field("kind", pa.string())).append(pa.field("text", pa.string()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # a row whose next one has not come yet: (span, id, text), and rows with the same id before it
-        waiting: list[tuple] = []
+        part, waiting = TaskContext.get().partitionId(), []  # rows of the last id so far, whose next one has not come yet
+        edge = lambda kind, rows: pa.RecordBatch.from_pylist([{"doc_id": i, "part": part, "kind": kind, "text": t} for i, t in rows], whole)
+        started, held, spilled = False, 0, False
+        for rb in arrow.slices(batches):
+            own, after = [], []
+            for row in zip(rb["doc_id"].to_pylist(), rb["text"].to_pylist(), strict=True):
+                if not started:
+                    yield edge("head", [row])
+                    started, last = True, row[0]
+                if row[0] != last:
+                    if spilled:
+                        yield edge("inner", [(last, row[1])])
+                    own += waiting
+                    after += [row[1]] * len(waiting)
+                    waiting, held, spilled, last = [], 0, False, row[0]
+                elif held > arrow.SLICE:
+                    yield edge("tail", waiting)
+                    waiting, held, spilled = [], 0, True
+                waiting.append(row)
+                held += len(row[1]) + 100
+            if own:
+                done = _compared([i for i, _ in own], [t for _, t in own], after)
+                none = [pa.nulls(len(own), t) for t in (pa.int64(), pa.string(), pa.string())]
+                yield pa.RecordBatch.from_arrays([*done, *none], schema=whole)
+        if waiting:
+            yield edge("tail", waiting)
+
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text")).withColumn("_n", F.monotonically_increasing_id())
+    order = (F.desc("doc_id"), F.asc("_h"), F.asc("_n"))  # copies of an id are dealt to several ranges
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    first = blocks.saved(dealt.mapInArrow(run, SCHEMA + ", part long, kind string, text string"))
+
+    tails = first.filter("kind = 'tail'").select("part", "doc_id", "text")
+    inner = first.filter("kind = 'inner'").select(F.col("part").alias("_p"), F.col("doc_id").alias("_i"), F.col("text").alias("after"))
+    same = (F.col("part") == F.col("_p")) & F.col("doc_id").eqNullSafe(F.col("_i"))
+    rest = tails.join(inner, same, "left_anti")
+    # One id for each range, no text: the next range of a range is the nearest below with another id.
+    heads = sorted((r["part"], r["doc_id"]) for r in first.filter("kind = 'head'").select("part", "doc_id").collect())
+    ends = {r["part"]: r["doc_id"] for r in rest.select("part", "doc_id").distinct().collect()}
+    follow = {p: next((q for q, i in heads if q > p and i != ends[p]), heads[0][0]) for p in ends}
+    pairs = docs.sparkSession.createDataFrame(list(follow.items()), "part long, next long")
+    heads_ = first.filter("kind = 'head'").select(F.col("part").alias("next"), F.col("text").alias("after"))
+    open_ = rest.join(F.broadcast(pairs), "part").join(heads_, "next").select("doc_id", "text", "after").unionByName(tails.join(inner, same).select("doc_id", "text", "after"))
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in arrow.slices(batches):
-            spans, extra, ids = (rb[c].to_pylist() for c in ("span", "extra", "doc_id"))
-            texts = rb["text"].to_pylist()
-            now, after = [], []
-            for s, e, i, t in zip(spans, extra, ids, texts, strict=True):
-                if waiting and (i != last[1] or e or s != last[0]):
-                    now += waiting
-                    after += [t] * len(waiting)
-                    waiting = []
-                if not e:
-                    waiting.append((i, t))
-                    last = (s, i)
-            if now:
-                own = [t for _, t in now]
-                change = [t[: len(t) - len(t) // 2] + x[: len(t) // 2] for t, x in zip(own, after, strict=True)]
-                raw = [t.encode() for t in change]
-                f, g, h = fingerprints([t.encode() for t in own]), fingerprints(raw), fingerprints([t.encode() for t in after])
-                columns = ([i for i, _ in now], [len(t) for t in own], [hashlib.sha256(t).hexdigest() for t in raw], f.view(np.int64), g.view(np.int64), _likeness(f, g), _likeness(f, h))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return _ordered(docs).mapInArrow(run, SCHEMA)
+            yield pa.RecordBatch.from_arrays(_compared(rb["doc_id"].to_pylist(), rb["text"].to_pylist(), rb["after"].to_pylist()), schema=columns)
+
+    return first.filter("kind is null").select(NAMES).unionByName(open_.mapInArrow(close, SCHEMA))
 
 
 def near(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -158,8 +196,9 @@ def _mask(table: tuple[int, int]) -> int:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """All columns of ``edited``, fingerprints as 16 hex digits, and ``n_near``, how many other documents lie within the radius."""
-    rows = blocks.saved(edited(docs.filter("doc_id is not null")))
-    out = rows.join(near(rows.select("fingerprint")), "fingerprint")
+    """All columns of ``edited``, fingerprints as 16 hex digits, and ``n_near``, how many other rows lie within the radius."""
+    rows = blocks.saved(edited(docs))
+    # Both sides of the join come from a table: the rows of a very common fingerprint are then split over tasks.
+    out = rows.join(blocks.saved(near(rows.select("fingerprint"))), "fingerprint")
     hexed = {c: F.lower(F.lpad(F.hex(c), 16, "0")) for c in ("fingerprint", "edited_fingerprint")}
-    return out.withColumn("n_near", F.col("n_near") - 1).withColumns(hexed).select(*[c.split()[0] for c in SCHEMA.split(", ")], "n_near")
+    return out.withColumn("n_near", F.col("n_near") - 1).withColumns(hexed).select(*NAMES, "n_near")
