@@ -65,6 +65,30 @@ def freshness(label: Column, at: Column, now: Column) -> Column:
     return F.when(label == "fact", F.greatest(F.lit(0.25), F.pow(F.lit(0.5), days / 90.0))).otherwise(1.0)
 
 
+def source_modifier(source: Column) -> Column:
+    """What a candidate found by its neighbourhood keeps of its score, by the trust in its source."""
+    return 0.5 + 0.5 * F.least(F.lit(1.0), source / 0.7)
+
+
+def reranked(score: Column, match: Column) -> Column:
+    return score * (0.5 + 0.5 * match)
+
+
+def bumped(current: Column, by: Column, cap: float = 2.0) -> Column:
+    """A gate score after another hit."""
+    return F.least(F.lit(cap), current + by)
+
+
+def shards(size: Column, budget: int) -> Column:
+    """How many calls a text of ``size`` characters takes, at a quarter of a token each and ``budget`` tokens a call."""
+    return F.ceil(F.greatest(F.lit(1), F.floor(size / 4)) / budget)
+
+
+def normalised(answer: Column, n: int) -> Column:
+    """An answer on a scale of n steps, between 0 and 1."""
+    return answer / (n - 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

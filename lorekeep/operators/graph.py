@@ -4,19 +4,29 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, by way of the shared checkpoint folder."""
+    """``df`` without its lineage, by way of the shared checkpoint folder. The folder goes when the driver ends."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{folder}/graph-{uuid.uuid4().hex}"
+    path = scratch(spark, "graph")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one that the cluster names; a session within one process may do without that."""
+    named, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not named and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def edges(facts: DataFrame, extra: DataFrame | None = None) -> DataFrame:
     """Entity graph of facts with an object; a pair's weight is 1 or the largest of its extra edges, if that is more."""
     e = facts.filter("object_id is not null and subject_id <> object_id").select("subject_id", "object_id", F.lit(1.0).alias("w"))
@@ -47,6 +57,30 @@ def pagerank(e: DataFrame, rounds: int = 5, alpha: float = 0.85, every: int = 4)
     return rank.select("id", "rank")
 
 
+def centrality(e: DataFrame, tolerance: float = 1e-6, most: int = 100, alpha: float = 0.85) -> DataFrame:
+    """``id``, ``rank``: PageRank until the ranks change by less than ``tolerance`` a node on average, or ``most`` rounds, divided by the largest."""
+    two = cut(both_ways(e))
+    out = cut(two.groupBy("u").agg(F.sum("w").alias("total")))
+    n = max(out.count(), 1)
+    rank = out.select(F.col("u").alias("id"), F.lit(1.0 / n).alias("rank"))
+    for _ in range(most):
+        sent = two.join(rank.join(out.withColumnRenamed("u", "id"), "id"), F.col("u") == F.col("id")).groupBy("v").agg(F.sum(F.col("rank") * F.col("w") / F.col("total")).alias("got"))
+        new = rank.join(sent, F.col("id") == F.col("v"), "left").select("id", (F.lit((1 - alpha) / n) + alpha * F.coalesce("got", F.lit(0.0))).alias("new"), "rank")
+        new = cut(new)
+        off = new.agg(F.sum(F.abs(F.col("new") - F.col("rank")))).first()[0] or 0.0
+        rank = new.select("id", F.col("new").alias("rank"))
+        if off < n * tolerance:
+            break
+    most_ = rank.agg(F.max("rank").alias("m"))
+    return rank.withColumn("rank", F.col("rank") / most_.scalar())
+
+
+def fact_centrality(facts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Facts with ``centrality``, the larger of their ends' ranks; 0 for ends without one."""
+    x = facts.join(ranks.select(F.col("id").alias("subject_id"), F.col("rank").alias("_s")), "subject_id", "left").join(ranks.select(F.col("id").alias("object_id"), F.col("rank").alias("_o")), "object_id", "left")
+    return x.withColumn("centrality", F.greatest(F.coalesce("_s", F.lit(0.0)), F.coalesce("_o", F.lit(0.0)))).drop("_s", "_o")
+
+
 def bfs(e: DataFrame, seeds: DataFrame, hops: int = 2, cap: int | None = 50) -> DataFrame:
     """``id``, ``hop``: least distance from any seed; of more than ``cap`` nodes the nearest (by hop, then id) stay."""
     two = both_ways(e).select("u", "v")
@@ -73,17 +107,6 @@ def components(e: DataFrame) -> DataFrame:
         label = new.select("u", F.col("new").alias("root"))
 
 
-def communities(e: DataFrame, rounds: int = 5, least: int = 4) -> DataFrame:
-    """``id``, ``community``: label propagation by summed weight (ties: least label), groups of at least ``least``."""
-    two = cut(both_ways(e))
-    label = two.select("u").distinct().withColumn("c", F.col("u"))
-    for _ in range(rounds):
-        votes = two.join(label.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("w").alias("s"))
-        label = cut(votes.groupBy("u").agg(F.min_by("c", F.struct(-F.col("s"), F.col("c"))).alias("c")))
-    big = label.groupBy("c").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return label.join(big, "c").select(F.col("u").alias("id"), F.col("c").alias("community"))
-
-
 def quotient(e: DataFrame, member: DataFrame, more_than: int = 2) -> DataFrame:
     """Edges between groups (``id``, ``community``) that more than so many member edges join."""
     x, y = member.select(F.col("id").alias("a"), F.col("community").alias("p")), member.select(F.col("id").alias("b"), F.col("community").alias("q"))

@@ -80,3 +80,34 @@ def within_budget(df: DataFrame, by: str, order: list, size: str, budget: int) -
     """The longest prefix of each group, in order, whose sizes add up to at most the budget."""
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("_sum", F.sum(size).over(w)).filter(F.col("_sum") <= budget).drop("_sum")
+
+
+def counted(df: DataFrame, by: str) -> DataFrame:
+    """Rows by a column, unknown for null, most first."""
+    return df.groupBy(F.coalesce(by, F.lit("unknown")).alias(by)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by)
+
+
+def predicates(facts: DataFrame) -> DataFrame:
+    """How often each predicate is used, by how many subjects, and its share of all facts."""
+    total = facts.agg(F.count("*").alias("n"))
+    return facts.groupBy("predicate").agg(F.count("*").alias("n"), F.countDistinct("subject_id").alias("subjects")).withColumn("share", F.round(F.col("n") / total.scalar(), 6))
+
+
+def audit(mounts: DataFrame, judged: DataFrame, least: float = 0.3, most: int = 200, reweight=lambda w, j: j) -> DataFrame:
+    """Mounts after a judge (``tag_id``, ``atom_id``, ``judged``): the worst ones below ``least`` go, at most so many in a run, others get a new weight."""
+    gone = judged.filter(F.col("judged") < least).orderBy("judged", "atom_id", "tag_id").limit(most).select("tag_id", "atom_id")
+    x = mounts.join(judged, ["tag_id", "atom_id"], "left").join(gone, ["tag_id", "atom_id"], "left_anti")
+    return x.withColumn("w", F.when(F.col("judged").isNull(), F.col("w")).otherwise(reweight(F.col("w"), F.col("judged")))).select(*mounts.columns)
+
+
+def reuse(members: DataFrame, mounts: DataFrame, share: float = 0.5) -> DataFrame:
+    """``k``, ``tag_id``: the tag that holds the most, and at least a share, of each new group's members (``k``, ``atom_id``)."""
+    size = members.groupBy("k").agg(F.countDistinct("atom_id").alias("_size"))
+    both = members.distinct().join(mounts.select("tag_id", "atom_id").distinct(), "atom_id").groupBy("k", "tag_id").agg(F.count("*").alias("_n"))
+    return both.join(size, "k").filter(F.col("_n") >= share * F.col("_size")).groupBy("k").agg(F.min_by("tag_id", F.struct(-F.col("_n"), F.col("tag_id"))).alias("tag_id"))
+
+
+def covers(asked: DataFrame, answered: DataFrame) -> DataFrame:
+    """``key``, ``covered``: whether the answers (``key``, ``id``) are about exactly what was asked."""
+    x = asked.select("key", "id").distinct().withColumn("_a", F.lit(1)).join(answered.select("key", "id").distinct().withColumn("_b", F.lit(1)), ["key", "id"], "full")
+    return x.groupBy("key").agg(F.min(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("covered"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import scores, text
@@ -88,3 +88,54 @@ def fact_recall(facts: DataFrame, entities: DataFrame, query: str, k: int | None
     score = scores.fact_score(F.col("match"), F.lit(0.0), scores.mem_score(F.col("confidence"), F.col("confidence")), F.lit(0.0), scores.hop_decay(F.col("hop")))
     out = hits.withColumn("score", F.round(score, 6)).filter(F.col("score") >= floor)
     return rank(out.select("id", F.round("match", 6).alias("match"), "hop", "score"), k)
+
+
+def named(entities: DataFrame, tokens: list[str]) -> DataFrame:
+    """Entities whose name holds a token; in a token _ and % stand for any character and any characters."""
+    hit = F.lit(False)
+    for t in tokens:
+        hit = hit | F.lower("name").like(f"%{t.lower()}%")
+    return entities.filter(hit)
+
+
+def value_leg(facts: DataFrame, tokens: list[str]) -> DataFrame:
+    """Facts whose value holds a token."""
+    return facts.filter(F.exists(F.array(*[F.lit(t.lower()) for t in tokens]), lambda t: F.contains(F.lower("value"), t)))
+
+
+def anchored(subjects: Column, query: Column, tokens: Column) -> Column:
+    """Whether any subject stands in the query or holds one of its tokens."""
+    low = F.lower(query)
+    return F.exists(F.transform(subjects, F.lower), lambda s: (s != "") & (F.contains(low, s) | F.exists(tokens, lambda t: F.contains(s, t))))
+
+
+def lanes(atoms: DataFrame, now: str, budget: int = 400, each: int = 3) -> DataFrame:
+    """What is always shown: the most durable preferences and the events nearest to now, as far as the bytes of their texts fit."""
+    live, t = temporal.live_atoms(atoms), temporal.at(now)
+    keep = live.filter("label = 'preference'").orderBy(F.desc("p_dur"), "id").limit(each).select("id", "text", F.lit("preference").alias("lane"), F.lit(0).alias("_l"), (-F.col("p_dur")).alias("_o"))
+    far = F.abs(F.unix_seconds("valid_from") - F.unix_seconds(t)).cast("double")
+    soon = live.filter((F.col("label") == "event") & F.col("valid_from").between(t - F.expr("interval 7 days"), t + F.expr("interval 21 days")))
+    soon = soon.orderBy(far, "id").limit(each).select("id", "text", F.lit("event").alias("lane"), F.lit(1).alias("_l"), far.alias("_o"))
+    w = Window.partitionBy(F.lit(1)).orderBy("_l", "_o", "id").rowsBetween(Window.unboundedPreceding, 0)  # six rows
+    return keep.unionByName(soon).withColumn("_s", F.sum(F.octet_length("text")).over(w)).filter(F.col("_s") <= budget).drop("_s", "_l", "_o")
+
+
+def unmounted(atoms: DataFrame, mounts: DataFrame) -> DataFrame:
+    return atoms.join(mounts.select(F.col("atom_id").alias("id")), "id", "left_anti")
+
+
+def with_names(facts: DataFrame, subjects: DataFrame, objects: DataFrame) -> DataFrame:
+    """Facts with the names of their ends; one whose subject is not there goes, one whose object is not there stays."""
+    x = facts.join(subjects.select(F.col("id").alias("subject_id"), F.col("name").alias("subject")), "subject_id")
+    return x.join(objects.select(F.col("id").alias("object_id"), F.col("name").alias("object")), "object_id", "left")
+
+
+def as_facts(atoms: DataFrame) -> DataFrame:
+    """Atoms in the shape of facts."""
+    return atoms.select(F.concat(F.lit("atom:"), "id").alias("id"), F.col("text").alias("value"), F.col("p_dur").alias("LIF"), F.col("p_dur").alias("confidence"), "label", "source_cwd", "valid_from", "valid_to")
+
+
+def json_paths(df: DataFrame, needle: str) -> DataFrame:
+    """The scalar members of objects (column ``json``) whose name or value holds the needle: ``key``, ``value``, with the other columns."""
+    members = F.explode(F.from_json("json", "map<string,string>")).alias("key", "value")
+    return df.select(*[c for c in df.columns if c != "json"], members).filter(F.contains("key", F.lit(needle)) | F.contains("value", F.lit(needle)))

@@ -34,13 +34,30 @@ def in_scope(df: DataFrame, cwd: str, column: str = "source_cwd") -> DataFrame:
 
 
 def touching(facts: DataFrame, ids: DataFrame) -> DataFrame:
-    """Facts whose subject or object is among ``ids`` (``id``). Two equality semi-joins, not one with OR."""
-    a = facts.join(ids, F.col("subject_id") == ids["id"], "left_semi")
-    b = facts.join(ids, F.col("object_id") == ids["id"], "left_semi")
-    return a.unionByName(b).dropDuplicates(["id"])
+    """Facts whose subject or object is among ``ids`` (``id``). Two equality joins, not one with OR; the second leaves out what the first has."""
+    named = lambda c: ids.select(F.col("id").alias(c)).distinct()
+    a = facts.join(named("subject_id"), "subject_id", "left_semi")
+    b = facts.join(named("object_id"), "object_id", "left_semi").join(named("subject_id"), "subject_id", "left_anti")
+    return a.unionByName(b).select(*facts.columns)
 
 
 def ttl_expired(atoms: DataFrame, now: str, days: int = 21, exempt: tuple[str, ...] = ("judgment", "experience", "summary", "preference", "event")) -> DataFrame:
     """Audited atoms of low durability that nothing renewed for a while."""
     seen = F.coalesce("last_seen_at", "valid_from")
     return atoms.filter((F.col("p_dur") < 0.35) & ~F.col("needs_audit") & (seen < at(now) - F.expr(f"interval {days} days")) & ~F.col("label").isin(*exempt))
+
+
+def by_id(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``id`` is asked for."""
+    return df.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def both_live(edges: DataFrame, a: str, b: str, live: DataFrame) -> DataFrame:
+    """Edges with both ends among the live rows (``id``)."""
+    return edges.join(live.select(F.col("id").alias(a)), a, "left_semi").join(live.select(F.col("id").alias(b)), b, "left_semi")
+
+
+def low_value(atoms: DataFrame, exempt: tuple[str, ...], least: float = 0.6) -> DataFrame:
+    """Live atoms of little durability without a gist, of no exempt label and from no markdown file."""
+    live = live_atoms(atoms)
+    return live.filter((F.col("p_dur") < least) & F.col("gist").isNull() & ~F.col("label").isin(*exempt) & ~F.col("from_markdown"))

@@ -158,9 +158,9 @@ def promotion(spark, d):
     return maintain.promote(maintain.decay(tables.facts(spark, d), NOW)).groupBy("fact_type").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {FACT} SELECT id, round(0.7 * access_count / 10.0 + 0.3 * confidence, 6) AS weighted, round(confidence, 6) AS only FROM fact WHERE access_count <= 10")
+@query(f"WITH {FACT} SELECT id, round(0.7 * access_count / 10.0 + 0.3 * confidence, 6) AS weighted, round(confidence, 6) AS only FROM (SELECT id, confidence, least(10, access_count) AS access_count FROM fact)")
 def mem_scores(spark, d):
-    f = tables.facts(spark, d).filter("access_count <= 10").withColumn("x", F.col("access_count") / 10.0)
+    f = tables.facts(spark, d).withColumn("x", F.least(F.lit(10), F.col("access_count")) / 10.0)
     return f.select("id", F.round(scores.mem_score(F.col("x"), F.col("confidence")), 6).alias("weighted"), F.round(scores.mem_score(F.col("confidence"), F.col("x"), "lif"), 6).alias("only"))
 
 
@@ -259,12 +259,6 @@ def components(spark, d):
     return graph.components(_knn(spark, d))
 
 
-@query()
-def communities(spark, d):
-    """Label propagation has no SQL form; tests hold its invariants."""
-    return graph.communities(_knn(spark, d))
-
-
 @query(f"""WITH {FACT}, {EDGE}, deg AS (SELECT u, count(*) AS degree FROM two GROUP BY 1)
 SELECT 's:' || s_suppkey AS id, s_name AS name, 'supplier' AS entity_type, degree FROM supplier JOIN deg ON u = 's:' || s_suppkey
 UNION ALL SELECT 'p:' || p_partkey, p_name, 'part', degree FROM part JOIN deg ON u = 'p:' || p_partkey""")
@@ -307,7 +301,7 @@ def turn_scenes(spark, d):
 @query("SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS r FROM conversations WHERE role = 'assistant' AND len(text) >= 120) WHERE r = 1")
 def end_steps(spark, d):
     t = tables.transcripts(spark, d).filter((F.col("role") == "assistant") & (F.length("text") >= 120))
-    return t.withColumn("r", F.row_number().over(Window.partitionBy("text").orderBy("conv_id", "turn"))).filter("r = 1").select("conv_id", "turn", "text")
+    return t.groupBy("text").agg(F.min(F.struct("conv_id", "turn")).alias("x")).select("x.*", "text")
 
 
 @query("SELECT conv_id, turn FROM (SELECT *, sum(len(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS s FROM conversations WHERE role = 'user') WHERE s <= 1200")
@@ -392,7 +386,7 @@ def best_threshold(spark, d):
     return g.orderBy(F.desc("a"), F.desc("threshold")).limit(1).select("threshold", F.round("a", 6).alias("accuracy"))
 
 
-@query()
+@query("SELECT DISTINCT event_id, event_type, user_id FROM events")
 def streaming_ledger(spark, d):
-    """Signals read as a stream into a ledger that applies each record once; a rows-only check here, batch equality in the tests."""
-    return stream.once(spark, d)
+    """Signals read as a stream into a ledger that applies each record once; the rows are those of the batch."""
+    return stream.once(spark, d).select("event_id", "event_type", "user_id")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.operators import graph
+
 
 def windowed(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums by tumbling window and type. Times without zone are UTC; on a stream, later records than ``late`` are dropped."""
@@ -18,7 +18,7 @@ def windowed(events: DataFrame, size: str = "1 hour", late: str = "2 hours") ->
 
 def once(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct records of the events files, read as a stream. Each batch skips what the ledger already has, so replays change nothing."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/") + f"/ledger-{uuid.uuid4().hex}"
+    base = graph.scratch(spark, "ledger")
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
     ledger = f"{base}/ledger"
     kinds = "sha string, event_id bigint, event_type string, user_id bigint"

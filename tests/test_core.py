@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions import scores, text
-from lorekeep.operators import graph, maintain, recall, temporal, vectors
+from lorekeep.operators import graph, maintain, recall, tagtree, temporal, vectors
 
 
 def one(spark, column):
@@ -82,7 +82,7 @@ def test_communities_split_two_axes(spark):
     axis = lambda k, s: [1.0 if i == k else s * 0.01 for i in range(4)]
     v = spark.createDataFrame([(i, axis(i // 5, i % 5)) for i in range(10)] + [(10, axis(2, 0)), (11, axis(2, 1))], "id long, v array<double>")
     e = vectors.knn_graph(v, 8, 0.6)
-    sizes = sorted(r["count"] for r in graph.communities(e).groupBy("community").count().collect())
+    sizes = sorted(r["count"] for r in tagtree.louvain(e, least=4).groupBy("community").count().collect())
     assert sizes == [5, 5]
 
 
