@@ -77,8 +77,8 @@ def centrality(e: DataFrame, tolerance: float = 1e-6, most: int = 100, alpha: fl
 
 def fact_centrality(facts: DataFrame, ranks: DataFrame) -> DataFrame:
     """Facts with ``centrality``, the larger of their ends' ranks; 0 for ends without one."""
-    x = facts.join(ranks.select(F.col("id").alias("subject_id"), F.col("rank").alias("_s")), "subject_id", "left").join(ranks.select(F.col("id").alias("object_id"), F.col("rank").alias("_o")), "object_id", "left")
-    return x.withColumn("centrality", F.greatest(F.coalesce("_s", F.lit(0.0)), F.coalesce("_o", F.lit(0.0)))).drop("_s", "_o")
+    x = facts.join(ranks.select(F.col("id").alias("subject_id"), F.col("rank").alias("_rs")), "subject_id", "left").join(ranks.select(F.col("id").alias("object_id"), F.col("rank").alias("_ro")), "object_id", "left")
+    return x.withColumn("centrality", F.greatest(F.coalesce("_rs", F.lit(0.0)), F.coalesce("_ro", F.lit(0.0)))).drop("_rs", "_ro")
 
 
 def bfs(e: DataFrame, seeds: DataFrame, hops: int = 2, cap: int | None = 50) -> DataFrame:

@@ -34,13 +34,14 @@ def _cells(left: DataFrame, right: DataFrame, rows: int, best: Callable[[np.ndar
     Blocks follow from the counts, so a block's size does not.
     """
     m, n = max(1, -(-left.count() // rows)), max(1, -(-right.count() // rows))
-    side = lambda d, own, k, other, j: d.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(k)).alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(j - 1)).cast("array<bigint>")))
+    # The sides have other names for the same columns: they may come from one table, whose columns must not be taken for one another.
+    side = lambda d, names, own, k, other, j: d.select(F.col("id").alias(names[0]), F.col("v").alias(names[1]), F.pmod(F.xxhash64("id"), F.lit(k)).alias(own)).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(j - 1)).cast("array<bigint>")))
 
     def run(x: pa.Table, y: pa.Table) -> pa.Table:
-        ids, others = x["id"].to_numpy(), y["id"].to_numpy()
-        if not (len(ids) and len(others)):
+        if not (x.num_rows and y.num_rows):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
-        p, q = (np.stack(t["v"].to_numpy()) for t in (x, y))
+        ids, others = x["a"].to_numpy(), y["b"].to_numpy()
+        p, q = np.stack(x["p"].to_numpy()), np.stack(y["q"].to_numpy())
         w = np.round(p @ q.T, 9)
         w[ids[:, None] == others[None]] = -2
         # Of equal ones the least id, so columns stand in order of ids.
@@ -50,7 +51,7 @@ def _cells(left: DataFrame, right: DataFrame, rows: int, best: Callable[[np.ndar
         keep = w[i, j] >= least
         return pa.table({"a": ids[i[keep]], "b": others[j[keep]], "w": w[i, j][keep]})
 
-    return side(left, "i", m, "j", n).groupBy("i", "j").cogroup(side(right, "j", n, "i", m).groupBy("i", "j")).applyInArrow(run, "a long, b long, w double")
+    return side(left, "ap", "i", m, "j", n).groupBy("i", "j").cogroup(side(right, "bq", "j", n, "i", m).groupBy("i", "j")).applyInArrow(run, "a long, b long, w double")
 
 
 def _top(k: int) -> Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]:
@@ -92,20 +93,20 @@ def near_graph(df: DataFrame, size: int, k: int = 8, least: float = 0.6, bits: i
     parts = each.groupBy("key").agg(F.ceil(F.count("*") / rows).alias("parts"))
     dealt = each.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")))
     upto = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
-    x = dealt.select("key", "id", "v", F.col("own").alias("i"), F.explode(upto).alias("j"))
-    y = dealt.select("key", "id", "v", F.col("own").alias("j"), F.explode(upto).alias("i"))
+    x = dealt.select(F.col("key").alias("kx"), F.col("id").alias("a"), F.col("v").alias("p"), F.col("own").alias("ix"), F.explode(upto).alias("jx"))
+    y = dealt.select(F.col("key").alias("ky"), F.col("id").alias("b"), F.col("v").alias("q"), F.col("own").alias("jy"), F.explode(upto).alias("iy"))
 
     def run(s: pa.Table, t: pa.Table) -> pa.Table:
-        ids, others = s["id"].to_numpy(), t["id"].to_numpy()
-        if not (len(ids) and len(others)):
+        if not (s.num_rows and t.num_rows):
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
-        w = np.round(np.stack(s["v"].to_numpy()) @ np.stack(t["v"].to_numpy()).T, 9)
+        ids, others = s["a"].to_numpy(), t["b"].to_numpy()
+        w = np.round(np.stack(s["p"].to_numpy()) @ np.stack(t["q"].to_numpy()).T, 9)
         w[ids[:, None] == others[None]] = -2
         i, j = _top(k)(w)
         keep = w[i, j] >= least
         return pa.table({"a": ids[i[keep]], "b": others[j[keep]], "w": w[i, j][keep]})
 
-    pairs = x.groupBy("key", "i", "j").cogroup(y.groupBy("key", "i", "j")).applyInArrow(run, "a long, b long, w double").dropDuplicates(["a", "b"])
+    pairs = x.groupBy("kx", "ix", "jx").cogroup(y.groupBy("ky", "iy", "jy")).applyInArrow(run, "a long, b long, w double").dropDuplicates(["a", "b"])
     return _graph(pairs, k)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.plans import core, more, state, words  # noqa: F401 - the others register their queries with the first
+from lorekeep.plans import core, more, state, webs, words  # noqa: F401 - the others register their queries with the first
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
