@@ -11,8 +11,13 @@ to one another. Then, in keys where several components still meet, the members o
 bounded size: in one round with the nearest signature of each other component; in the last, all that still meet another component are tested
 on full sets with all of its members. Every link between different components that the keys can show is tested on the full sets, so no cap or sample decides anything.
 
+Classes, not ids, are what is linked, so null ids and ids that several texts share do no harm.
+
 Defined results: texts of one to four words have one shingle, the whole; a null text or one without words has an empty set and is linked
-with nothing; repeated rows are one class; an empty table gives an empty result.
+with nothing (its component is its own id); repeated rows are one class; rows that share an id with different texts are documents of their
+own; a null id is larger than all others, and a component of null ids alone is null; ``kept`` holds where id and component agree, nulls
+too, so all rows with that id keep it, while ``keep_one`` keeps one row of each component (of equal smallest ids any one, and every row with an
+empty set); a very long text is taken whole, by itself; other columns can't clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from lorekeep.llm import arrow, blocks, graph
 
@@ -30,6 +36,7 @@ SHINGLE, PERCENT = 5, 75
 SIZE, WIDE, CHUNK, BITS = 36, 128, 3, 16
 RADIUS, FAR = 2 * (SIZE // CHUNK) - 1, 60
 LEFT, RIGHT = 512, 4096  #: rows of a key that meet in one task
+HELD = 1 << 20  #: shingles of full sets on each side of a cell, or one larger set
 _ODD = (np.random.default_rng(7).integers(0, 1 << 63, WIDE, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _XOR = np.random.default_rng(8).integers(0, 1 << 63, WIDE, dtype=np.uint64)
 
@@ -63,8 +70,13 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``a`` and ``b`` (128 bits that name the set), ``sig`` (null for an empty set)."""
+def _named(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each of the sets that start at ``at``."""
+    return np.add.reduceat(arrow.mix(values), at), np.bitwise_xor.reduceat(arrow.mix(values * np.uint64(0xD1342543DE82EF95) + np.uint64(1)), at)
+
+
+def sketch(docs: DataFrame, carried: str | None = None) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``a`` and ``b`` (bits that name the set), ``sig`` (null for an empty set), and the column ``carried``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in arrow.slices(batches):
@@ -74,13 +86,17 @@ def sketch(docs: DataFrame) -> DataFrame:
             full = np.flatnonzero(n)
             if len(full):
                 at = bounds[:-1][full]
-                a[full] = np.add.reduceat(arrow.mix(values), at)
-                b[full] = np.bitwise_xor.reduceat(arrow.mix(values * np.uint64(0xD1342543DE82EF95) + np.uint64(1)), at)
+                a[full], b[full] = _named(values, at)
                 for i, s in zip(full.tolist(), signatures(values, np.append(at, bounds[-1])), strict=True):
                     sig[i] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([rb["doc_id"], pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "a", "b", "sig"])
+            columns = [rb["doc_id"], pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sig, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns + [rb[c] for c in more], names=["doc_id", "n_shingles", "a", "b", "sig", *more])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, a long, b long, sig binary")
+    more = [carried] if carried else []
+    kinds = docs.select(*more).schema
+    for c, kind in (("sig", "binary"), ("b", "long"), ("a", "long"), ("n_shingles", "long"), ("doc_id", "long")):
+        kinds = StructType([StructField(c, LongType() if kind == "long" else BinaryType()), *kinds.fields])
+    return docs.select("doc_id", "text", *more).mapInArrow(run, kinds)
 
 
 def _keys(classes: DataFrame) -> DataFrame:
@@ -117,17 +133,21 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(x, "x").join(y, "y").select("x", "y", "sx", "sy").mapInArrow(run, "x long, y long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id``, ``set``: full sets of the documents ``ids``."""
+def _sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``id``, ``set``: the full set of each class (``id``, ``a``, ``b``, and ``doc``, a document that has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in arrow.slices(batches):
             values, bounds = shingles(arrow.utf8(rb["text"]))
-            sets = [values[a:b].astype("<u8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([rb["doc_id"], pa.array(sets, pa.binary())], names=["id", "set"])
+            full = np.flatnonzero(np.diff(bounds))
+            if len(full):
+                a, b = _named(values, bounds[:-1][full])
+                sets = [values[x:y].astype("<u8").tobytes() for x, y in zip(bounds[full], bounds[full + 1], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(sets, pa.binary())], names=["a", "b", "set"])
 
-    own = docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
-    return own.mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+    own = docs.join(classes.select("doc").distinct(), F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi").select("doc_id", "text")
+    # Of texts that share an id, those of other classes fall away here.
+    return own.mapInArrow(run, "a long, b long, set binary").dropDuplicates(["a", "b"]).join(classes.select("a", "b", "id"), ["a", "b"]).select("id", "set")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -213,8 +233,9 @@ def _joined(met: DataFrame, roots: DataFrame, classes: DataFrame, sets: DataFram
     for each pair, and one confirmed link of an x leaves a cell, as more of them join nothing else.
     """
     member = classes.select("id", "n", "sig").join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    lefts = met.groupBy("root").agg(F.ceil(F.count("*") / LEFT).alias("lefts"))
-    counts = lefts.join(member.groupBy("root").agg(F.ceil(F.count("*") / RIGHT).alias("rights")), "root")
+    size = lambda rows: F.ceil(F.greatest(F.count("*") / rows, F.sum("n") / HELD))
+    lefts = met.select(F.col("x").alias("id"), "root").join(member.select("id", "n"), "id").groupBy("root").agg(size(LEFT).alias("lefts"))
+    counts = lefts.join(member.groupBy("root").agg(size(RIGHT).alias("rights")), "root")
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     one = lambda c: F.pmod(F.xxhash64("id", "root"), F.col(c))
     left = met.select(F.col("x").alias("id"), "root").join(counts, "root").join(member.drop("root"), "id").withColumns({"i": one("lefts"), "side": F.lit(0)})
@@ -258,16 +279,17 @@ def _similar(head: np.ndarray, values: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(head) + len(values) - both)
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row of ``docs`` (``doc_id``, ``text``)."""
-    docs = docs.select("doc_id", "text")
-    sketches = blocks.saved(sketch(docs))
-    classes = blocks.saved(sketches.filter("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+def _components(docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``root``, ``component_id`` of every class: a name of its component, and the smallest document there."""
+    found = sketches.filter("n_shingles > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    # Numbers follow the documents: near copies mostly come after what they were made from, which then is the class that others are compared with.
+    ordered = (F.asc_nulls_last("doc"), F.asc("a"), F.asc("b"))
+    classes = blocks.saved(found.repartitionByRange(*ordered).sortWithinPartitions(*ordered).withColumn("id", F.monotonically_increasing_id()))
     keys = _keys(classes)
     hubs = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).filter("hub.id < last").select("key", "hub")
     shared = blocks.saved(keys.join(hubs, "key"))
     stars = shared.filter("id > hub.id").filter(f"100 * least(n, hub.n) >= {PERCENT} * greatest(n, hub.n)").groupBy(F.col("id").alias("y")).agg(F.min("hub.id").alias("x")).select("x", "y")
-    sets = blocks.saved(_sets(docs, shared.select("id").distinct()))
+    sets = blocks.saved(_sets(docs, classes.join(shared.select("id").distinct(), "id", "left_semi")))
     roots = graph.forest_roots(_linked(blocks.saved(_likely(stars, classes)), sets))
     for last in (False, True):
         met = blocks.saved(_across(shared, roots, classes))
@@ -275,13 +297,24 @@ def groups(docs: DataFrame) -> DataFrame:
             break
         links = _joined(met, roots, classes, sets) if last else _linked(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), sets)
         roots = graph.components(roots.unionByName(links))
-    found = classes.join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("a", "b", F.coalesce("root", "id").alias("component_id"))
+    rooted = classes.join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("a", "b", "doc", F.coalesce("root", "id").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("doc").alias("component_id"))
+    return rooted.drop("doc").join(least, "root").select("a", "b", "root", "component_id")
+
+
+def groups(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row of ``docs`` (``doc_id``, ``text``)."""
+    docs = docs.select("doc_id", "text")
+    sketches = blocks.saved(sketch(docs))
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return sketches.join(found, ["a", "b"], "left").select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    return sketches.join(_components(docs, sketches), ["a", "b"], "left").select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the smallest document of their group, with its own columns. Of repeated rows with equal ids one stays."""
-    kept = groups(docs).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """A row of ``docs`` for each component, of a smallest document, and every row with an empty set; with its own columns."""
+    names = docs.columns
+    sketches = blocks.saved(sketch(docs.select("doc_id", "text", F.struct("*").alias("_row")), "_row").withColumn("_n", F.monotonically_increasing_id()))
+    # Rows have numbers of their own, as ids may be null or repeated.
+    least = sketches.filter("n_shingles > 0").join(_components(docs, sketches.drop("_row")), ["a", "b"]).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_n")).alias("one"))
+    first = sketches.select("_n", "_row").join(least.select(F.col("one._n").alias("_n")), "_n", "left_semi")
+    return first.unionByName(sketches.filter("n_shingles = 0").select("_n", "_row")).select("_row.*").select(*names)
