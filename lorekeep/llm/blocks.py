@@ -32,8 +32,8 @@ def folder(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
-def units(docs: DataFrame, size: int = UNIT) -> DataFrame:
-    """``unit``, ``bytes``, ``blob``: rows (``doc_id``, ``text``), compressed, ``size`` bytes of text in each value or one longer text.
+def units(docs: DataFrame, size: int = UNIT, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """``unit``, ``bytes``, ``blob``: rows (``columns``, one of them ``text``), compressed, ``size`` bytes of text in each value or one longer text.
 
     They are written once, so a unit is the same whenever it is read, however tasks are made up and whatever executors are lost.
     """
@@ -56,7 +56,7 @@ def units(docs: DataFrame, size: int = UNIT) -> DataFrame:
         if held:
             yield unit()
 
-    return saved(docs.select("doc_id", "text").mapInArrow(run, "unit long, bytes long, blob binary"))
+    return saved(docs.select(*columns).mapInArrow(run, "unit long, bytes long, blob binary"))
 
 
 def opened(blob: pa.Scalar | bytes) -> list[pa.RecordBatch]:

@@ -7,7 +7,7 @@ depths are mixed by how well they coded the corpus. Scoring walks the frozen tre
 node's. A node that the corpus never reached gives its parent's estimate (one half above the root), so a new context costs no more than the
 shorter one that is known.
 
-Texts are written once in units of some MB. A unit counts its distinct contexts with their bytes before anything is exchanged; these meet
+Running texts are written once in units of some MB. A unit counts its distinct contexts with their bytes before anything is exchanged; these meet
 in buckets by the hash of the two nearest bytes, and a unit gets back one probability for each of its own. Nothing of the corpus's size meets
 in one place; only the top of the trees (contexts of none and one byte: at most 257 * 255 nodes) goes through the driver. Word counts,
 for the base score, travel in parts by hash of the word.
@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm import arrow, blocks
 
-DEPTH = 7  #: with the byte itself, as many as a 64-bit key holds
+DEPTH = 5  #: seven and the byte itself would fill a 64-bit key; each byte more doubles the distinct contexts
 END = b"\n"  #: no word has a newline
 PART_DOCS = 16_384
-UNIT = 32 << 20  #: bytes of text in a unit
+UNIT = 8 << 20  #: bytes of text in a unit
 BUCKETS = 8  #: buckets of contexts for each part of words
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
@@ -61,16 +61,17 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For every byte of every text, with its closing space unless END closes it: the context, nearest byte first, above the byte itself; and where each text starts."""
-    gap = b" " * DEPTH
+    gap = b" " * 7
     size = np.fromiter((len(t) + (not t.endswith(END)) for t in texts), np.int64, len(texts))
     raw = np.fromiter(map(len, texts), np.int64, len(texts))
-    first = DEPTH + np.concatenate([[0], np.cumsum(raw + DEPTH)[:-1]])
+    first = 7 + np.concatenate([[0], np.cumsum(raw + 7)[:-1]])
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
     at = np.arange(int(size.sum())) + np.repeat(first - starts, size)
     data = gap + gap.join(texts) + gap
     # The eight bytes that end at each byte, the byte itself on top; turned, it comes last and the nearest one first.
-    eight = np.ndarray((len(data) - DEPTH,), "<u8", data, strides=(1,))[at - DEPTH]
-    return (eight << np.uint64(8) | eight >> np.uint64(56)).view(np.int64), starts
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))[at - 7]
+    past = eight << np.uint64(8) >> np.uint64(8 * (8 - DEPTH)) << np.uint64(8)
+    return (past | eight >> np.uint64(56)).view(np.int64), starts
 
 
 def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -98,61 +99,53 @@ def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Forest:
-    """The context trees below one-byte contexts, of all contexts of some pairs of nearest bytes."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray):
-        key, n = _summed(key[n > 0], n[n > 0])
-        self.levels: list[tuple[int, list[tuple[np.ndarray, ...]]]] = []
-        below = None
+    """The context trees below one-byte contexts, of all contexts of some pairs of nearest bytes, from ``key`` (distinct, in order) and counts.
+
+    Levels are built from the deepest up, and only what the next one needs is held. With ``asked``, ``p`` follows each key upwards: the probability
+    of a one at its eight decisions, mixed from depth DEPTH up to 2. A key that was only asked for has a count of 0: it changes no estimate, and a
+    node without counts passes on its parent's.
+    """
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, asked: bool = False):
+        self.p = np.full((8, len(key)), np.nan, np.float32) if asked else None
+        at = np.arange(len(key), dtype=np.int32)  # for each key asked for, its place among the keys of this depth
+        below: list[tuple[np.ndarray, np.ndarray]] = []
+        top = []
+        inverse = None
         for depth in range(DEPTH, 0, -1):
-            # Keys of this depth in order, so the bytes that share a node of a decision lie together.
-            nodes, place = [], []
+            above = []
             for b in range(8):
+                # Keys of this depth in order, so the bytes that share a node of a decision lie together.
                 first, group = _runs(key >> (8 - b))
                 total, one = _sums(n, first), _sums(n * (key >> (7 - b) & 1), first)
-                entry = key[first] >> 8 << 8 | 1 << b | (key[first] & 255) >> (8 - b)
-                nodes.append((entry, total - one, one))
-                place.append((first, group))
-            if below is not None:
-                up = [np.bincount(place[b][1][inverse[first]], weighted, len(nodes[b][0])) for b, (first, weighted) in enumerate(below)]
+                up = None if inverse is None else np.bincount(group[inverse[below[b][0]]], below[b][1], len(first))
+                if depth == 1:
+                    entry = key[first] >> 8 << 8 | 1 << b | (key[first] & 255) >> (8 - b)
+                    top.append((entry, total - one, one, np.zeros(len(first)) if up is None else up))
+                    continue
+                own = log_kt(total - one, one)
+                weighted = own if up is None else np.logaddexp(own, up) - np.log(2)
+                if self.p is not None:
+                    here = group[at]
+                    share = ((one + 0.5) / (total + 1)).astype(np.float32)[here]
+                    stop = np.ones(1, np.float32) if up is None else np.exp(own - np.log(2) - weighted).astype(np.float32)[here]
+                    p = np.where(np.isnan(self.p[b]), share, stop * share + (1 - stop) * self.p[b])
+                    self.p[b] = np.where((total > 0)[here], p, np.nan)
+                above.append((first, weighted))
             if depth == 1:
                 break
-            level, below_next = [], []
-            for b, (entry, n0, n1) in enumerate(nodes):
-                own = log_kt(n0, n1)
-                weighted = own if below is None else np.logaddexp(own, up[b]) - np.log(2)
-                level.append((entry, n0, n1, np.ones(len(own)) if below is None else np.exp(own - np.log(2) - weighted)))
-                below_next.append((place[b][0], weighted))
-            self.levels.append((depth, level))
-            below = below_next
+            below = above
             shorter = key >> 16 << 8 | key & 255
             order = np.argsort(shorter, kind="stable")
             first, group = _runs(shorter[order])
-            inverse = np.empty(len(key), np.int64)
+            inverse = np.empty(len(key), np.int32)
             inverse[order] = group
+            at = inverse[at]
             key, n = shorter[order][first], _sums(n[order], first)
-        flat = [np.concatenate(c) for c in zip(*nodes, strict=True)] + [np.concatenate(up)]
+        flat = [np.concatenate(c) for c in zip(*top, strict=True)]
         order = np.argsort(flat[0])
         self.top = tuple(c[order] for c in flat)  #: one-byte contexts, as far as these trees hang below them
 
-    def ones(self, key: np.ndarray) -> np.ndarray:
-        """For each context and byte, the probability of a one at its eight decisions, mixed from depth DEPTH up to 2."""
-        p = np.full((8, len(key)), np.nan)
-        byte = key & 255
-        for depth, level in self.levels:
-            ctx = key >> 8 >> 8 * (DEPTH - depth) << 8
-            for b in range(8):
-                p[b] = _mixed(p[b], ctx | (1 << b) | (byte >> (8 - b)), *level[b])
-        return p
-
-
-def _mixed(deeper: np.ndarray, at: np.ndarray, entry: np.ndarray, n0: np.ndarray, n1: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    if not len(entry):
-        return deeper
-    i = np.minimum(np.searchsorted(entry, at), len(entry) - 1)
-    own = (n1[i] + 0.5) / (n0[i] + n1[i] + 1)
-    return np.where(entry[i] == at, np.where(np.isnan(deeper), own, stop[i] * own + (1 - stop[i]) * deeper), np.nan)
-
 
 class Top:
     """Contexts of one and no byte."""
@@ -166,7 +159,7 @@ class Top:
             entry, n0, n1, below = _summed(entry & 255, n0, n1, weighted)
 
     def log10(self, key: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """log10 probability of each byte in its context, from what ``Forest.ones`` gives."""
+        """log10 probability of each byte in its context, from ``Forest.p``."""
         byte, total = key & 255, np.zeros(len(key))
         # The nodes are few: each is sought once.
         few, which = np.unique((key >> 8 * DEPTH << 8 | byte).astype(np.int32), return_inverse=True)
@@ -190,23 +183,25 @@ def _one(columns: dict, types: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in columns.items()], names=list(columns))
 
 
-def _slices(blob: bytes) -> Iterator[tuple[list, list[list[bytes]], list[int]]]:
-    """Ids, words and sizes in bytes of a unit's rows, a few MB at a time."""
-    for rb in arrow.slices(iter(arrow.unpack(blob).to_batches())):
-        yield rb["doc_id"].to_pylist(), [t.lower().split() for t in arrow.utf8(rb["text"])], [len(t) for t in arrow.utf8(rb["text"])]
+def _running(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text``, the running text that is scored, and ``n_bytes`` of the text itself."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in arrow.slices(batches):
+            raw = arrow.utf8(rb["text"])
+            texts = [b" ".join([*t.lower().split(), END]) for t in raw]
+            yield pa.RecordBatch.from_arrays([rb["doc_id"], pa.array(texts, pa.binary()), pa.array(map(len, raw), pa.int64())], names=["doc_id", "text", "n_bytes"])
 
-def _running(words: list[list[bytes]]) -> list[bytes]:
-    return [b" ".join([*w, END]) for w in words]
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary, n_bytes long")
 
 
 def _distinct(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A unit's distinct contexts with bytes, in order, and how often its training rows have them."""
     keys, counts = [], []
-    for ids, words, _ in _slices(blob):
-        held = [held_out(i) for i in ids]
+    for rb in blocks.opened(blob):
+        held = [held_out(i) for i in rb["doc_id"].to_pylist()]
         for out in (False, True):
-            texts = _running([w for w, h in zip(words, held, strict=True) if h == out])
+            texts = [t for t, h in zip(rb["text"].to_pylist(), held, strict=True) if h == out]
             if texts:
                 key, n = _counted(contexts(texts)[0])
                 keys.append(key)
@@ -224,15 +219,14 @@ def _words(units: DataFrame, parts: int) -> DataFrame:
 
     def of(unit: int, blob: bytes) -> pa.RecordBatch:
         n: dict[bytes, int] = {END: 0}
-        for ids, texts, _ in _slices(blob):
-            for doc, words in zip(ids, texts, strict=True):
-                if held_out(doc):
-                    for w in words:
-                        n.setdefault(w, 0)
-                else:
-                    n[END] += 1
-                    for w in words:
-                        n[w] = n.get(w, 0) + 1
+        for rb in blocks.opened(blob):
+            train = np.array([not held_out(i) for i in rb["doc_id"].to_pylist()])
+            words = arrow.Words(rb["text"].to_pylist())
+            here, which = words.distinct()
+            n[END] += int(train.sum())
+            counts = np.bincount(which, np.repeat(train, np.diff(words.bounds)), len(here)).astype(np.int64)
+            for w, k in zip(here, counts.tolist(), strict=True):
+                n[w] = n.get(w, 0) + k
         words = list(n)
         counts = np.fromiter(n.values(), np.int64, len(n))
         part = arrow.Words([w if w != END else b"|" for w in words]).hashes() % np.uint64(parts)
@@ -303,10 +297,10 @@ def score(docs: DataFrame, depth_docs: int = PART_DOCS) -> DataFrame:
     """Scores of every row of ``docs`` (``doc_id``, ``text``), learnt from those not held out."""
     parts = max(1, -(-docs.count() // depth_docs))
     buckets = BUCKETS * parts
-    units = blocks.units(docs, UNIT)
+    units = blocks.units(_running(docs), UNIT, ("doc_id", "text", "n_bytes"))
     words = blocks.saved(_words(units, parts).groupBy("part").applyInArrow(_counts, "unit long, blob binary, tokens long, distinct long"))
     total = words.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
-    tokens, distinct = total["n"] or 0, total["v"] or 0
+    tokens_all, distinct = total["n"] or 0, total["v"] or 0
     forests = blocks.saved(_asks(units, buckets).groupBy("bucket").applyInArrow(_bucketed, "bucket long, size long, keys binary, counts binary, units array<long>, sizes array<long>, places array<binary>, top binary"))
 
     def unroll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,7 +318,7 @@ def score(docs: DataFrame, depth_docs: int = PART_DOCS) -> DataFrame:
             for i in range(rb.num_rows):
                 r = {c: rb[c][i].as_py() for c in rb.schema.names}
                 key, n = arrow.unpacked(r["keys"], r["size"]), arrow.unpacked(r["counts"], r["size"])
-                p = top.log10(key, Forest(key, n).ones(key)).astype("<f4")
+                p = top.log10(key, Forest(key, n, asked=True).p).astype("<f4")
                 for unit, size, place in zip(r["units"], r["sizes"], r["places"], strict=True):
                     yield _one({"unit": [unit], "bucket": [r["bucket"]], "p": [p[arrow.unpacked(place, size)].tobytes()]}, types)
 
@@ -344,26 +338,32 @@ def score(docs: DataFrame, depth_docs: int = PART_DOCS) -> DataFrame:
             index.update(zip(own["w"].to_pylist(), range(len(index), len(index) + own.num_rows), strict=True))
             n.append(own["n"].to_numpy())
         n = np.concatenate(n)
-        base = np.log10((n + 0.1) / (tokens + 0.1 * (distinct + 1)))
-        rows, kept, keys = [], [], []
-        for ids, texts, sizes in _slices(blob):
-            kept.append(_running(texts))
-            keys.append(_counted(contexts(kept[-1])[0])[0])
-            for doc, words, size in zip(ids, texts, sizes, strict=True):
-                i = np.fromiter(map(index.__getitem__, [*words, END]), np.int64)
-                rows.append((doc, held_out(doc), len(i), int((n[i] > 0).sum()), tokens, float(base[i].sum()), size))
+        base = np.log10((n + 0.1) / (tokens_all + 0.1 * (distinct + 1)))
+        rows, orders, keys, logs = [], [], [], []
+        for rb in blocks.opened(blob):
+            ids, texts = rb["doc_id"].to_pylist(), rb["text"].to_pylist()
+            words = arrow.Words(texts)
+            here, which = words.distinct()
+            i = np.fromiter(map(index.__getitem__, here), np.int64, len(here))[which]
+            score = np.concatenate([[0.0], np.cumsum(base[i])])[words.bounds]
+            known = np.concatenate([[0], np.cumsum(n[i] > 0)])[words.bounds]
+            end = index[END]
+            for k, (doc, size) in enumerate(zip(ids, rb["n_bytes"].to_pylist(), strict=True)):
+                tokens = int(words.bounds[k + 1] - words.bounds[k]) + 1
+                rows.append((doc, held_out(doc), tokens, int(known[k + 1] - known[k]) + int(n[end] > 0), tokens_all, float(score[k + 1] - score[k] + base[end]), size))
+            at, starts = contexts(texts)
+            order = np.argsort(at).astype(np.int32)
+            first, group = _runs(at[order])
+            keys.append(at[order[first]])
+            orders.append((order, group.astype(np.int32), starts))
         key = np.sort(np.concatenate(keys))
         key = key[_runs(key)[0]]
         p = np.empty(len(key), np.float32)
         replies = sorted((kind[i], i) for i in np.flatnonzero(kind >= 0).tolist())
         p[np.argsort(_bucket(key, buckets), kind="stable")] = np.concatenate([np.frombuffer(t["p"][i].as_py(), "<f4") for _, i in replies])
-        logs = []
-        for texts in kept:
-            at, starts = contexts(texts)
-            order = np.argsort(at)
-            first, group = _runs(at[order])
-            log = np.empty(len(at))
-            log[order] = p[np.searchsorted(key, at[order[first]])][group]
+        for own, (order, group, starts) in zip(keys, orders, strict=True):
+            log = np.empty(len(order))
+            log[order] = p[np.searchsorted(key, own)][group]
             logs += np.add.reduceat(log, starts).tolist()
         rows = [(*r[:-1], log, r[-1]) for r, log in zip(rows, logs, strict=True)]
         return pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema=target)
