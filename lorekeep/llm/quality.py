@@ -5,7 +5,8 @@ those bits, so policies can be changed or compared without reading text again, a
 of a policy removes on its own. Everything is built from Spark SQL functions.
 
 Defined results: a null or empty text has no words and fails ``few_words``; repeated rows are judged alike; an empty table gives an
-empty ledger; columns of the input whose names clash with the ledger's are replaced.
+empty ledger; a null id is as good as another; very long texts are measured whole; columns of the input whose names clash with the
+ledger's are replaced (``clean`` gives the input's own back).
 """
 
 from __future__ import annotations
@@ -58,25 +59,33 @@ STRICT = Policy("2024-1", reduce(lambda m, r: m | 1 << r.bit, RULES, 0))
 MILD = Policy("2024-0", BASE)
 
 
-def measured(docs: DataFrame) -> DataFrame:
+def measured(docs: DataFrame, low_bits: int = 24) -> DataFrame:
     """Adds the measurements of every rule to ``docs`` (which needs ``text``).
 
-    For words in repeated five-word windows, each window becomes one long: its position in the low 24 bits (30 in texts of 2^24 words or
-    more), bits of its hash above. One primitive sort then puts equal windows side by side, and neighbours with equal hash bits are
-    compared word by word.
+    For words in repeated five-word windows, each window becomes one long: its position in the low ``low_bits`` (30 in texts with more
+    words), bits of its hash above. One primitive sort then puts equal windows side by side, and neighbours with equal hash bits are compared
+    word by word. Where such neighbours differ, equal windows may stand apart: the text's windows are then sorted by two whole
+    hashes instead, so the short ones never decide.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.when(F.size("_w") < 1 << 24, (1 << 24) - 1).otherwise((1 << 30) - 1).cast("long")
+    low = F.when(F.size("_w") < 1 << low_bits, (1 << low_bits) - 1).otherwise((1 << max(30, low_bits)) - 1).cast("long")
     packed = F.expr(
         "case when size(_w) < 5 then array() else sort_array(transform(slice(_w, 1, size(_w) - 4), (x, i) -> "
         "(xxhash64(x, _w[i + 1], _w[i + 2], _w[i + 3], _w[i + 4]) & ~_low) | cast(i as bigint))) end"
     )
     out = docs.withColumn("_w", F.filter(F.split(text, SPACES, -1), lambda x: x != ""))
     out = out.withColumn("_low", low).withColumn("_p", packed)
-    same = "(_p[i] & ~_low) = (x & ~_low) and slice(_w, cast(_p[i] & _low as int) + 1, 5) = slice(_w, cast(x & _low as int) + 1, 5)"
-    # Of each position in hash order: does it equal the next one? Most texts have no equal neighbours at all.
-    out = out.withColumn("_twin", F.expr(f"filter(transform(slice(_p, 2, greatest(size(_p) - 1, 0)), (x, i) -> if({same}, cast(i as int), -1)), x -> x >= 0)"))
-    out = out.withColumn("_at", F.expr("sort_array(array_distinct(flatten(transform(_twin, i -> array(cast(_p[i] & _low as int), cast(_p[i + 1] & _low as int))))))"))
+    equal = "slice(_w, cast(_p[i] & _low as int) + 1, 5) = slice(_w, cast(x & _low as int) + 1, 5)"
+    # Of each position in hash order: does it equal the next one? Most texts have no equal neighbours at all. -2: equal bits, other words.
+    out = out.withColumn("_twin", F.expr(f"filter(transform(slice(_p, 2, greatest(size(_p) - 1, 0)), (x, i) -> if((_p[i] & ~_low) = (x & ~_low), if({equal}, cast(i as int), -2), -1)), x -> x <> -1)"))
+    whole = (
+        "case when array_contains(_twin, -2) then sort_array(transform(slice(_w, 1, size(_w) - 4), (x, i) -> named_struct('a', xxhash64(x, _w[i + 1], _w[i + 2], _w[i + 3], _w[i + 4]), "
+        "'b', xxhash64('second', _w[i + 4], _w[i + 3], _w[i + 2], _w[i + 1], x), 'i', cast(i as int)))) end"
+    )
+    out = out.withColumn("_whole", F.expr(whole))
+    apart = "flatten(transform(slice(_whole, 2, size(_whole) - 1), (x, i) -> if(_whole[i].a = x.a and _whole[i].b = x.b, array(_whole[i].i, x.i), cast(array() as array<int>))))"
+    near = "flatten(transform(_twin, i -> array(cast(_p[i] & _low as int), cast(_p[i + 1] & _low as int))))"
+    out = out.withColumn("_at", F.expr(f"sort_array(array_distinct(if(_whole is not null, {apart}, {near})))"))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     out = out.withColumn("_lines", lines)
     return out.withColumns(
@@ -89,7 +98,7 @@ def measured(docs: DataFrame) -> DataFrame:
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.expr("coalesce(aggregate(transform(_at, (s, i) -> least(5, coalesce(get(_at, i + 1) - s, 5))), 0L, (a, x) -> a + x), 0L)"),
         }
-    ).drop("_w", "_low", "_p", "_twin", "_at", "_lines")
+    ).drop("_w", "_low", "_p", "_twin", "_whole", "_at", "_lines")
 
 
 def ledger(docs: DataFrame) -> DataFrame:
