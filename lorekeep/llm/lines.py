@@ -31,12 +31,6 @@ RUN = 3
 LONG = 20  #: words that make a run of fewer lines a repeat
 
 
-def _live(text: bytes) -> tuple[list[bytes], list[int]]:
-    """All lines, and which have a word."""
-    lines = text.split(b"\n")
-    return lines, [i for i, x in enumerate(lines) if x.split()]
-
-
 def line_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of each line."""
     both = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in lines]), "<u8").reshape(-1, 2)
@@ -45,10 +39,12 @@ def line_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def winnow(h: np.ndarray, run: int = RUN) -> np.ndarray:
     """Where the fingerprint of each window of ``run`` hashes is: its least one, the last of equals."""
-    if len(h) < run:
-        return np.zeros(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(h, run)
-    return np.arange(len(views)) + run - 1 - views[:, ::-1].argmin(axis=1)
+    n = max(len(h) - run + 1, 0)
+    least, where = h[:n], np.arange(n)
+    for k in range(1, run):
+        below = h[k : k + n] <= least
+        least, where = np.where(below, h[k : k + n], least), np.where(below, np.arange(n) + k, where)
+    return where
 
 
 def _selected(docs: DataFrame, run: int, long: int | None) -> DataFrame:
@@ -59,30 +55,38 @@ def _selected(docs: DataFrame, run: int, long: int | None) -> DataFrame:
         for rb in arrow.slices(batches):
             spots: list[list[np.ndarray]] = [[], [], [], []]  # document, selected line, fingerprint, number of windows
             around: list[list[np.ndarray]] = [[], [], [], []]
-            for doc, text in zip(rb["doc_id"].to_pylist(), arrow.utf8(rb["text"]), strict=True):
-                lines, live = _live(text)
-                h, other = line_hashes([lines[i] for i in live])
-                words = np.fromiter((len(lines[i].split()) for i in live), np.int64, len(live)) if long is not None else None
-                for size in range(run if long is None else 1, run + 1):
-                    where = winnow(h, size)
-                    at = np.arange(len(where))
-                    if size < run:
-                        at = at[sum(words[k : k + len(at)] for k in range(size)) >= long]
-                    if not len(at):
-                        continue
-                    a, b = np.full(len(at), run - size, np.uint64), np.ones(len(at), np.uint64)
-                    for k in range(size):
-                        a = arrow.mix(a + h[at + k])
-                        b = arrow.mix(b * np.uint64(0xD1342543DE82EF95) ^ other[at + k])
-                    # Windows select places in order, so those of one place stand together.
-                    first = np.flatnonzero(np.concatenate([[True], np.diff(where[at]) != 0]))
-                    spot = where[at][first]
-                    # Windows of different lengths don't meet.
-                    fingerprint = h[spot] ^ np.uint64(run - size)
-                    for column, v in zip(spots, (np.full(len(spot), doc), spot, fingerprint.view(np.int64), np.diff(np.append(first, len(at)))), strict=True):
-                        column.append(v)
-                    for column, v in zip(around, (at, np.full(len(at), size), a.view(np.int64), b.view(np.int64)), strict=True):
-                        column.append(v)
+            lines, words, ends = [], [], []  # lines with a word of all texts, their numbers of words, where each text's lines end
+            for text in arrow.utf8(rb["text"]):
+                for line in text.split(b"\n"):
+                    if n := len(line.split()):
+                        lines.append(line)
+                        words.append(n)
+                ends.append(len(lines))
+            h, other = line_hashes(lines)
+            count = np.diff(ends, prepend=0)
+            doc, end = np.repeat(rb["doc_id"].to_numpy(), count), np.repeat(ends, count)
+            place, words = np.arange(len(lines)) - (end - np.repeat(count, count)), np.array(words, np.int64)
+            for size in range(run if long is None else 1, run + 1):
+                where = winnow(h, size)
+                # Windows lie in one text.
+                at = np.flatnonzero(np.arange(len(where)) + size <= end[: len(where)])
+                if size < run:
+                    at = at[sum(words[at + k] for k in range(size)) >= long]
+                if not len(at):
+                    continue
+                a, b = np.full(len(at), run - size, np.uint64), np.ones(len(at), np.uint64)
+                for k in range(size):
+                    a = arrow.mix(a + h[at + k])
+                    b = arrow.mix(b * np.uint64(0xD1342543DE82EF95) ^ other[at + k])
+                # Windows select places in order, so those of one place stand together.
+                first = np.flatnonzero(np.concatenate([[True], np.diff(where[at]) != 0]))
+                spot = where[at][first]
+                # Windows of different lengths don't meet.
+                fingerprint = h[spot] ^ np.uint64(run - size)
+                for column, v in zip(spots, (doc[spot], place[spot], fingerprint.view(np.int64), np.diff(np.append(first, len(at)))), strict=True):
+                    column.append(v)
+                for column, v in zip(around, (place[at], np.full(len(at), size), a.view(np.int64), b.view(np.int64)), strict=True):
+                    column.append(v)
             if spots[0]:
                 *own, n = (np.concatenate(c) for c in spots)
                 windows = pa.StructArray.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in around], names=["at", "size", "a", "b"])
