@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions import extract, scores
-from lorekeep.operators import temporal
+from lorekeep.operators import graph, temporal
 
 # Predicates that hold many values at once, and how often a job is tried.
 MULTIVALUE = ("uses", "depends_on", "contains", "implements", "connected_to", "part_of", "relates_to")
@@ -192,9 +192,13 @@ def sample(df: DataFrame, key: str, seed: int, most: int) -> DataFrame:
 
 
 def stride(groups: DataFrame, order: str, every: int) -> DataFrame:
-    """Every so many-th group in order. Numbers come from counts of ranges of the order, so no task sees all groups."""
-    parts = groups.repartitionByRange(order).sortWithinPartitions(order).withColumn("_i", F.monotonically_increasing_id())
-    numbered = parts.withColumns({"_p": F.shiftright("_i", 33), "_o": F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))})
+    """Every so many-th group in order, nulls last. Numbers come from counts of ranges of the order, so no task sees all groups.
+
+    The ranges are written once: their ends come from a sample and their number from their sizes, so they may differ each time they are made.
+    """
+    by = F.col(order).asc_nulls_last()
+    parts = groups.repartitionByRange(by).sortWithinPartitions(by).withColumn("_i", F.monotonically_increasing_id())
+    numbered = graph.cut(parts).withColumns({"_p": F.shiftright("_i", 33), "_o": F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))})
     sizes = sorted((r["_p"], r["count"]) for r in numbered.groupBy("_p").count().collect())  # one row for each range
     before, total = [], 0
     for p, n in sizes:

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from lorekeep.operators import changes, folds, recall
+from lorekeep.operators import changes, folds, ingest, recall
 from lorekeep.sources import markdown, transcripts
 
 
@@ -95,3 +95,14 @@ def test_changes(spark):
 def test_quota(spark):
     df = spark.createDataFrame([(i, 1.0 - i / 100, "a" if i < 6 else "b") for i in range(12)], "id long, score double, anchor string")
     assert [r["id"] for r in recall.quota(df, "anchor").collect()] == [0, 1, 2, 6, 7, 8]
+
+
+def test_stride_counts_every_group_once(spark):
+    rows = spark.range(20_000).select((F.col("id") * 7919 % 20_011).alias("k")).unionByName(spark.range(150).select(F.lit(None).cast("long").alias("k")))
+    keys = sorted(i * 7919 % 20_011 for i in range(20_000)) + [None] * 150
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [r["k"] for r in ingest.stride(rows, "k", 100).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(got, key=lambda k: (k is None, k)) == keys[::100]
