@@ -2,9 +2,12 @@
 
 import json
 
+import duckdb
+
 from pyspark.sql import functions as F
 
 from lorekeep.operators import changes, folds, ingest, recall
+from lorekeep.plans import registry
 from lorekeep.sources import markdown, transcripts
 
 
@@ -106,3 +109,20 @@ def test_stride_counts_every_group_once(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted(got, key=lambda k: (k is None, k)) == keys[::100]
+
+
+def queried(spark, folder, name, rows, columns="doc_id long, text string", table="documents"):
+    """Rows of a query and of its SQL over one table."""
+    spark.createDataFrame(rows, columns).write.parquet(f"{folder}/{table}.parquet")
+    own = registry.queries()[name](spark, str(folder))
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW {table} AS FROM '{folder}/{table}.parquet/*.parquet'")
+        other = c.sql(registry.oracle_sql()[name]).select(*own.columns).fetchall()
+    return sorted(map(repr, map(tuple, own.collect()))), sorted(map(repr, other))
+
+
+def test_paragraphs_keep_digits_and_count_whole_ones(spark, tmp_path):
+    long = "a part. " + "x" * 1600
+    texts = ["0abc0\n\n1def1\n \n 2 ", "a part.\n\n" + long, long, "  a　\n\n \n\n\tb", "a" + "\n" * 20_000 + "b", "\n\n", "", None]
+    own, other = queried(spark, tmp_path, "paragraph_split", [*enumerate(texts), (None, "of no document\n\nx")])
+    assert own == other and repr((0, 3, 11)) in own and repr((1, 1, 7)) in own
