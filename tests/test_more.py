@@ -6,6 +6,7 @@ import duckdb
 
 from pyspark.sql import functions as F
 
+from lorekeep.functions import extract
 from lorekeep.operators import changes, folds, ingest, recall
 from lorekeep.plans import registry
 from lorekeep.sources import markdown, transcripts
@@ -126,3 +127,14 @@ def test_paragraphs_keep_digits_and_count_whole_ones(spark, tmp_path):
     texts = ["0abc0\n\n1def1\n \n 2 ", "a part.\n\n" + long, long, "  a　\n\n \n\n\tb", "a" + "\n" * 20_000 + "b", "\n\n", "", None]
     own, other = queried(spark, tmp_path, "paragraph_split", [*enumerate(texts), (None, "of no document\n\nx")])
     assert own == other and repr((0, 3, 11)) in own and repr((1, 1, 7)) in own
+
+
+def test_names_keep_digits(spark, tmp_path):
+    texts = ['"0abc0" and "1def1" and "2ghi2"', 'Foo  Bar "  0x"', '"00" "11"', "", None]
+    own, other = queried(spark, tmp_path, "entity_mentions", list(enumerate(texts)))
+    assert own == other and repr((0, "0abc0", "quoted_term")) in own and repr((0, "1def1", "quoted_term")) in own
+
+
+def test_relations_keep_digits(spark):
+    got = spark.range(1).select(F.inline(extract.relations(F.lit("00 Alpha uses  beta 0.")))).collect()
+    assert [tuple(r) for r in got] == [("00 Alpha", "uses", "beta 0")]
