@@ -32,6 +32,7 @@ DEPTH = 5  #: seven and the byte itself would fill a 64-bit key; each byte more
 END = b"\n"  #: no word has a newline
 PART_DOCS = 16_384
 UNIT = 8 << 20  #: bytes of text in a unit
+STEP = 1 << 20  #: bytes of a unit's text of which all contexts are held at once, at some 60 bytes each
 BUCKETS = 8  #: buckets of contexts for each part of words
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
 
@@ -66,12 +67,18 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     raw = np.fromiter(map(len, texts), np.int64, len(texts))
     first = 7 + np.concatenate([[0], np.cumsum(raw + 7)[:-1]])
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    at = np.arange(int(size.sum())) + np.repeat(first - starts, size)
     data = gap + gap.join(texts) + gap
+    edges = np.zeros(len(data) + 1, np.int8)  # 1 where a text starts, -1 behind its last byte
+    edges[first], edges[first + size] = 1, -1
+    here = np.cumsum(edges[7:-1], dtype=np.int8).view(bool)
     # The eight bytes that end at each byte, the byte itself on top; turned, it comes last and the nearest one first.
-    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))[at - 7]
-    past = eight << np.uint64(8) >> np.uint64(8 * (8 - DEPTH)) << np.uint64(8)
-    return (past | eight >> np.uint64(56)).view(np.int64), starts
+    past = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))[here]
+    last = past >> np.uint64(56)
+    past <<= np.uint64(8)
+    past >>= np.uint64(8 * (8 - DEPTH))
+    past <<= np.uint64(8)
+    past |= last
+    return past.view(np.int64), starts
 
 
 def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -198,7 +205,7 @@ def _running(docs: DataFrame) -> DataFrame:
 def _distinct(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     """A unit's distinct contexts with bytes, in order, and how often its training rows have them."""
     keys, counts = [], []
-    for rb in blocks.opened(blob):
+    for rb in blocks.opened(blob, STEP):
         held = [held_out(i) for i in rb["doc_id"].to_pylist()]
         for out in (False, True):
             texts = [t for t, h in zip(rb["text"].to_pylist(), held, strict=True) if h == out]
@@ -219,7 +226,7 @@ def _words(units: DataFrame, parts: int) -> DataFrame:
 
     def of(unit: int, blob: bytes) -> pa.RecordBatch:
         n: dict[bytes, int] = {END: 0}
-        for rb in blocks.opened(blob):
+        for rb in blocks.opened(blob, STEP):
             train = np.array([not held_out(i) for i in rb["doc_id"].to_pylist()])
             words = arrow.Words(rb["text"].to_pylist())
             here, which = words.distinct()
@@ -339,8 +346,8 @@ def score(docs: DataFrame, depth_docs: int = PART_DOCS) -> DataFrame:
             n.append(own["n"].to_numpy())
         n = np.concatenate(n)
         base = np.log10((n + 0.1) / (tokens_all + 0.1 * (distinct + 1)))
-        rows, orders, keys, logs = [], [], [], []
-        for rb in blocks.opened(blob):
+        rows, places, keys, logs = [], [], [], []
+        for rb in blocks.opened(blob, STEP):
             ids, texts = rb["doc_id"].to_pylist(), rb["text"].to_pylist()
             words = arrow.Words(texts)
             here, which = words.distinct()
@@ -352,19 +359,20 @@ def score(docs: DataFrame, depth_docs: int = PART_DOCS) -> DataFrame:
                 tokens = int(words.bounds[k + 1] - words.bounds[k]) + 1
                 rows.append((doc, held_out(doc), tokens, int(known[k + 1] - known[k]) + int(n[end] > 0), tokens_all, float(score[k + 1] - score[k] + base[end]), size))
             at, starts = contexts(texts)
-            order = np.argsort(at).astype(np.int32)
-            first, group = _runs(at[order])
-            keys.append(at[order[first]])
-            orders.append((order, group.astype(np.int32), starts))
+            order = np.argsort(at)
+            at = at[order]
+            first, group = _runs(at)
+            which = np.empty(len(at), np.int32)  # each byte's context among the distinct ones
+            which[order] = group
+            keys.append(at[first])
+            places.append((which, starts))
         key = np.sort(np.concatenate(keys))
         key = key[_runs(key)[0]]
         p = np.empty(len(key), np.float32)
         replies = sorted((kind[i], i) for i in np.flatnonzero(kind >= 0).tolist())
         p[np.argsort(_bucket(key, buckets), kind="stable")] = np.concatenate([np.frombuffer(t["p"][i].as_py(), "<f4") for _, i in replies])
-        for own, (order, group, starts) in zip(keys, orders, strict=True):
-            log = np.empty(len(order))
-            log[order] = p[np.searchsorted(key, own)][group]
-            logs += np.add.reduceat(log, starts).tolist()
+        for own, (which, starts) in zip(keys, places, strict=True):
+            logs += np.add.reduceat(p[np.searchsorted(key, own)][which], starts, dtype=np.float64).tolist()
         rows = [(*r[:-1], log, r[-1]) for r, log in zip(rows, logs, strict=True)]
         return pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema=target)
 

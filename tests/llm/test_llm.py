@@ -5,9 +5,11 @@ import functools
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("lorekeep.llm")
@@ -569,3 +571,15 @@ def test_many_spans_take_time_in_proportion(spark):
     assert pii.redact(df).select(F.col("text")).first()[0].count("<email> ssn <ssn>") == 16_000
     assert time.time() - start < 30
     print("seconds", time.time() - start)
+
+
+def test_contexts_take_little_memory():
+    texts = [b"the quick brown fox jumps over " * 4_000 + b"\n" for _ in range(16)]
+    size = sum(map(len, texts))
+    tracemalloc.start()
+    scoring.contexts(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * size
+    unit = arrow.pack(pa.table({"doc_id": pa.array(range(16), pa.int64()), "text": pa.array(texts, pa.binary())}))
+    assert [rb.num_rows for rb in blocks.opened(unit, 4 * len(texts[0]))] == [4] * 4
