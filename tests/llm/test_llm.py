@@ -583,3 +583,40 @@ def test_contexts_take_little_memory():
     assert peak < 24 * size
     unit = arrow.pack(pa.table({"doc_id": pa.array(range(16), pa.int64()), "text": pa.array(texts, pa.binary())}))
     assert [rb.num_rows for rb in blocks.opened(unit, 4 * len(texts[0]))] == [4] * 4
+
+
+def brute_urls(rows):
+    """page_id and mean log ratio, with all grams of both models."""
+    seen = []
+    for i, url in rows:
+        rest = url.partition("://")[2]
+        host, _, path = rest.partition("/")
+        seen.append((i, host, "/" + path, "allow" if host.endswith(".com") else "block" if host.endswith(".net") and path.startswith("es/") else None))
+    text = [[2] * 4 + list((h + p).encode()) + [3] for _, h, p, _ in seen]
+    grams = [[t[i - 4 : i + 1] for i in range(4, len(t))] for t in text]
+    p = {"allow": {}, "block": {}}
+    for side, own in p.items():
+        n = collections.Counter(tuple(g[4 - k :]) for gs, s in zip(grams, seen) if s[3] and s[0] % 5 for g in gs for k in range(5) if s[3] == side)
+        known = {tuple(g[4 - k :]) for gs, s in zip(grams, seen) if s[3] and s[0] % 5 for g in gs for k in range(5)}
+        total, kinds = collections.Counter(), collections.Counter()
+        for g, c in n.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        for g in sorted(known, key=len):
+            q = own[g[1:]] if len(g) > 1 else 1 / 128
+            own[g] = (n[g] + kinds[g[:-1]] * q) / (total[g[:-1]] + kinds[g[:-1]]) if total[g[:-1]] else q
+    ratio = lambda g: next((math.log(p["allow"][tuple(g[k:])] / p["block"][tuple(g[k:])]) for k in range(5) if tuple(g[k:]) in p["allow"]), 0.0)
+    return {s[0]: sum(map(ratio, gs)) / len(gs) for gs, s in zip(grams, seen)}
+
+
+def test_urls_with_all_grams(spark, monkeypatch):
+    draw = random.Random(3)
+    rows = [(i, f"http://{draw.choice(['ab', 'cd', 'xyz'])}.{draw.choice(['com', 'net', 'org'])}/{draw.choice(['es', 'q'])}/{draw.randrange(10**5)}") for i in range(300)]
+    want = brute_urls(rows)
+    table = spark.createDataFrame(rows, "page_id long, url string")
+    for slots in (urls.SLOTS, 50):  # few frequent grams, many that are joined, and the other way round
+        monkeypatch.setattr(urls, "SLOTS", slots)
+        got = {r["page_id"]: r["score"] for r in urls.judge(table).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-8 for i in want)
+    few = {r["page_id"]: r["score"] for r in urls.judge(table, slots=50).collect()}
+    assert any(abs(few[i] - want[i]) > 1e-3 for i in want)
