@@ -1,6 +1,8 @@
 """Transcript wire formats, markdown, folds and changes on literal rows."""
 
 import json
+import random
+import re
 
 import duckdb
 
@@ -138,3 +140,14 @@ def test_names_keep_digits(spark, tmp_path):
 def test_relations_keep_digits(spark):
     got = spark.range(1).select(F.inline(extract.relations(F.lit("00 Alpha uses  beta 0.")))).collect()
     assert [tuple(r) for r in got] == [("00 Alpha", "uses", "beta 0")]
+
+
+def test_long_names(spark, tmp_path):
+    draw = random.Random(7)
+    for _ in range(20_000):
+        t = "".join(draw.choice(["A", "a", "Ab", "b", "1", "_", ".", " ", "\n", "-"]) for _ in range(draw.randrange(14)))
+        for i, p in extract.LONG_ENTITIES.items():
+            assert re.findall(p, t, re.ASCII) == re.findall(extract.ENTITIES[i][0], t, re.ASCII), (i, t)
+    texts = ["Foo Bar " * 10_000, "Foo." * 10_000 + "Bar", "a" + "Foo" * 10_000, "a" + "_foo" * 10_000]
+    own, other = queried(spark, tmp_path, "entity_mentions", list(enumerate(texts)))
+    assert own == other and len(own) == 4
