@@ -19,7 +19,7 @@ each time.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,7 +73,7 @@ def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     here = np.cumsum(edges[7:-1], dtype=np.int8).view(bool)
     # The eight bytes that end at each byte, the byte itself on top; turned, it comes last and the nearest one first.
     past = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))[here]
-    last = past >> np.uint64(56)
+    last = np.frombuffer(data, np.uint8)[7:][here]
     past <<= np.uint64(8)
     past >>= np.uint64(8 * (8 - DEPTH))
     past <<= np.uint64(8)
@@ -89,9 +89,14 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return key[first], *[np.add.reduceat(v[order], first) if len(key) else v for v in values]
 
 
+def _new(a: np.ndarray) -> np.ndarray:
+    """Whether a run of equal values starts here."""
+    return np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
+
+
 def _runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each run of equal values starts, and each value's run."""
-    new = np.concatenate([[True], a[1:] != a[:-1]])[: len(a)]
+    new = _new(a)
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
@@ -100,11 +105,29 @@ def _sums(n: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = np.sort(key)
-    first, _ = _runs(key)
+    """Distinct keys, sorted, and how often each one stands in ``key``, which is put in order."""
+    key.sort()
+    first = np.flatnonzero(_new(key))
     return key[first], np.diff(np.append(first, len(key)))
 
 
+def _union(keys: Iterable[np.ndarray]) -> np.ndarray:
+    """Distinct keys, sorted. What is held grows with these, not with all keys."""
+    out, more, n = np.zeros(0, np.int64), [], 0
+    for key in keys:
+        more.append(key)
+        n += len(key)
+        if n > max(len(out), UNIT // 8):
+            out, more, n = _merged([out, *more]), [], 0
+    return _merged([out, *more])
+
+
+def _merged(keys: list[np.ndarray]) -> np.ndarray:
+    key = np.concatenate(keys)
+    key.sort()
+    return key[_new(key)]
+
+
 class Forest:
     """The context trees below one-byte contexts, of all contexts of some pairs of nearest bytes, from ``key`` (distinct, in order) and counts.
 
@@ -190,16 +213,12 @@ def _one(columns: dict, types: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in columns.items()], names=list(columns))
 
 
-def _running(docs: DataFrame) -> DataFrame:
+@arrow.lean
+def _running(rb: pa.RecordBatch) -> pa.RecordBatch:
     """``doc_id``, ``text``, the running text that is scored, and ``n_bytes`` of the text itself."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in arrow.slices(batches):
-            raw = arrow.utf8(rb["text"])
-            texts = [b" ".join([*t.lower().split(), END]) for t in raw]
-            yield pa.RecordBatch.from_arrays([rb["doc_id"], pa.array(texts, pa.binary()), pa.array(map(len, raw), pa.int64())], names=["doc_id", "text", "n_bytes"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary, n_bytes long")
+    raw = arrow.utf8(rb["text"])
+    texts = [b" ".join([*t.lower().split(), END]) for t in raw]
+    return pa.RecordBatch.from_arrays([rb["doc_id"].cast(pa.int64()), pa.array(texts, pa.binary()), pa.array(map(len, raw), pa.int64())], names=["doc_id", "text", "n_bytes"])
 
 
 def _distinct(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -212,8 +231,13 @@ def _distinct(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
             if texts:
                 key, n = _counted(contexts(texts)[0])
                 keys.append(key)
-                counts.append(n * (not out))
-    return _summed(np.concatenate(keys), np.concatenate(counts))
+                counts.append(None if out else n)
+    key = _union(keys)
+    total = np.zeros(len(key), np.int64)
+    for own, n in zip(keys, counts, strict=True):
+        if n is not None:
+            total[np.searchsorted(key, own)] += n
+    return key, total
 
 
 def _bucket(key: np.ndarray, n: int) -> np.ndarray:
@@ -224,9 +248,10 @@ def _words(units: DataFrame, parts: int) -> DataFrame:
     """``part``, ``unit``, ``blob``: each unit's distinct tokens with their training counts, by hash of the token."""
     types = {"part": pa.int64(), "unit": pa.int64(), "blob": pa.binary()}
 
-    def of(unit: int, blob: bytes) -> pa.RecordBatch:
-        n: dict[bytes, int] = {END: 0}
-        for rb in blocks.opened(blob, STEP):
+    @arrow.lean
+    def of(row: tuple[int, pa.Scalar]) -> pa.RecordBatch:
+        unit, n = row[0], {END: 0}
+        for rb in blocks.opened(row[1], STEP):
             train = np.array([not held_out(i) for i in rb["doc_id"].to_pylist()])
             words = arrow.Words(rb["text"].to_pylist())
             here, which = words.distinct()
@@ -250,12 +275,12 @@ def _words(units: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for unit, blob in zip(rb["unit"].to_pylist(), rb["blob"], strict=True):
-                yield of(unit, blob.as_py())
+            yield from map(of, zip(rb["unit"].to_pylist(), rb["blob"], strict=True))
 
     return units.mapInArrow(run, "part long, unit long, blob binary")
 
 
+@arrow.lean
 def _counts(t: pa.Table) -> pa.Table:
     """Each unit's tokens of a part with their count in the corpus; the part's totals stand in its first row."""
     index: dict[bytes, int] = {}
@@ -276,26 +301,38 @@ def _asks(units: DataFrame, buckets: int) -> DataFrame:
     """``bucket``, ``unit``, ``size``, ``keys``, ``counts``: what each unit counts, and asks for, in each bucket of contexts."""
     types = {"bucket": pa.int64(), "unit": pa.int64(), "size": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
 
+    @arrow.lean
+    def of(row: tuple[int, pa.Scalar]) -> pa.RecordBatch:
+        unit, (key, n) = row[0], _distinct(row[1].as_py())
+        order = np.argsort(_bucket(key, buckets), kind="stable")
+        key, n = key[order], n[order]
+        cut = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1))
+        rows = [(b, unit, y - x, arrow.packed(key[x:y]), arrow.packed(n[x:y])) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
+        return _one(dict(zip(types, map(list, zip(*rows, strict=True)), strict=True)), types)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for unit, blob in zip(rb["unit"].to_pylist(), rb["blob"], strict=True):
-                key, n = _distinct(blob.as_py())
-                order = np.argsort(_bucket(key, buckets), kind="stable")
-                key, n = key[order], n[order]
-                cut = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1))
-                rows = [(b, unit, y - x, arrow.packed(key[x:y]), arrow.packed(n[x:y])) for b, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
-                yield _one(dict(zip(types, map(list, zip(*rows, strict=True)), strict=True)), types)
+            yield from map(of, zip(rb["unit"].to_pylist(), rb["blob"], strict=True))
 
     return units.mapInArrow(run, "bucket long, unit long, size long, keys binary, counts binary")
 
 
+@arrow.lean
 def _bucketed(t: pa.Table) -> pa.Table:
     """A bucket in one row: its contexts with bytes, their counts, where each unit's are among them, and the bucket's share of the top."""
-    keys = [arrow.unpacked(k, n) for k, n in zip(t["keys"].to_pylist(), t["size"].to_pylist(), strict=True)]
-    counts = [arrow.unpacked(k, n) for k, n in zip(t["counts"].to_pylist(), t["size"].to_pylist(), strict=True)]
-    key, n = _summed(np.concatenate(keys), np.concatenate(counts))
+
+    def unpacked(column: str) -> Iterator[np.ndarray]:
+        """Each unit's, one at a time."""
+        return (arrow.unpacked(k.as_py(), n) for k, n in zip(t[column], t["size"].to_pylist(), strict=True))
+
+    key = _union(unpacked("keys"))
+    n = np.zeros(len(key), np.int64)
+    where = []
+    for own, counts in zip(unpacked("keys"), unpacked("counts"), strict=True):
+        at = np.searchsorted(key, own)
+        n[at] += counts
+        where.append(arrow.packed(at))
     top = arrow.pack(pa.table(dict(zip(("entry", "n0", "n1", "below"), Forest(key, n).top, strict=True))))
-    where = [arrow.packed(np.searchsorted(key, k)) for k in keys]
     row = {"bucket": [t["bucket"][0].as_py()], "size": [len(key)], "keys": [arrow.packed(key)], "counts": [arrow.packed(n)], "units": [t["unit"].to_pylist()], "sizes": [t["size"].to_pylist()], "places": [where], "top": [top]}
     return pa.table(row, schema=pa.schema([("bucket", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("units", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.list_(pa.binary())), ("top", pa.binary())]))
 
@@ -304,7 +341,7 @@ def score(docs: DataFrame, depth_docs: int = PART_DOCS) -> DataFrame:
     """Scores of every row of ``docs`` (``doc_id``, ``text``), learnt from those not held out."""
     parts = max(1, -(-docs.count() // depth_docs))
     buckets = BUCKETS * parts
-    units = blocks.units(_running(docs), UNIT, ("doc_id", "text", "n_bytes"))
+    units = blocks.units(docs, UNIT, change=_running)
     words = blocks.saved(_words(units, parts).groupBy("part").applyInArrow(_counts, "unit long, blob binary, tokens long, distinct long"))
     total = words.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
     tokens_all, distinct = total["n"] or 0, total["v"] or 0
@@ -321,11 +358,16 @@ def score(docs: DataFrame, depth_docs: int = PART_DOCS) -> DataFrame:
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The log10 probabilities that each unit asked a bucket for."""
         types = {"unit": pa.int64(), "bucket": pa.int64(), "p": pa.binary()}
+
+        @arrow.lean
+        def of(r: dict) -> np.ndarray:
+            key, n = arrow.unpacked(r["keys"], r["size"]), arrow.unpacked(r["counts"], r["size"])
+            return top.log10(key, Forest(key, n, asked=True).p).astype("<f4")
+
         for rb in batches:
             for i in range(rb.num_rows):
                 r = {c: rb[c][i].as_py() for c in rb.schema.names}
-                key, n = arrow.unpacked(r["keys"], r["size"]), arrow.unpacked(r["counts"], r["size"])
-                p = top.log10(key, Forest(key, n, asked=True).p).astype("<f4")
+                p = of(r)
                 for unit, size, place in zip(r["units"], r["sizes"], r["places"], strict=True):
                     yield _one({"unit": [unit], "bucket": [r["bucket"]], "p": [p[arrow.unpacked(place, size)].tobytes()]}, types)
 
@@ -335,6 +377,7 @@ def score(docs: DataFrame, depth_docs: int = PART_DOCS) -> DataFrame:
     # A unit's text, the counts of its words and the probabilities of its contexts, told apart by bucket.
     sent = units.select("unit", F.lit(-2).cast("long").alias("bucket"), F.col("blob").alias("p")).unionByName(words.select("unit", F.lit(-1).cast("long").alias("bucket"), F.col("blob").alias("p"))).unionByName(answers)
 
+    @arrow.lean
     def sums(t: pa.Table) -> pa.Table:
         kind = t["bucket"].to_numpy()
         blob = t["p"][int(np.flatnonzero(kind == -2)[0])].as_py()
@@ -361,13 +404,12 @@ def score(docs: DataFrame, depth_docs: int = PART_DOCS) -> DataFrame:
             at, starts = contexts(texts)
             order = np.argsort(at)
             at = at[order]
-            first, group = _runs(at)
+            new = _new(at)
             which = np.empty(len(at), np.int32)  # each byte's context among the distinct ones
-            which[order] = group
-            keys.append(at[first])
+            which[order] = np.cumsum(new, dtype=np.int32) - 1
+            keys.append(at[new])
             places.append((which, starts))
-        key = np.sort(np.concatenate(keys))
-        key = key[_runs(key)[0]]
+        key = _union(keys)
         p = np.empty(len(key), np.float32)
         replies = sorted((kind[i], i) for i in np.flatnonzero(kind >= 0).tolist())
         p[np.argsort(_bucket(key, buckets), kind="stable")] = np.concatenate([np.frombuffer(t["p"][i].as_py(), "<f4") for _, i in replies])

@@ -620,3 +620,49 @@ def test_urls_with_all_grams(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-8 for i in want)
     few = {r["page_id"]: r["score"] for r in urls.judge(table, slots=50).collect()}
     assert any(abs(few[i] - want[i]) > 1e-3 for i in want)
+
+
+def test_scoring_holds_little_memory(spark):
+    def peak(step, *args):
+        tracemalloc.start()
+        out = step(*args)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    # A bucket holds its distinct contexts, not every unit's copy of them.
+    rng, units, n = np.random.default_rng(5), 60, 20_000
+    key = np.unique(rng.integers(0, 1 << 48, n))
+    keys = [np.unique(rng.choice(key, n // 2)) for _ in range(units)]
+    counts = [rng.integers(0, 9, len(k)) for k in keys]
+    blobs = [[arrow.packed(a) for a in x] for x in (keys, counts)]
+    t = pa.table({"bucket": [0] * units, "unit": list(range(units)), "size": list(map(len, keys)), "keys": blobs[0], "counts": blobs[1]})
+    forest = peak(scoring.Forest, key, np.ones(len(key), np.int64))[1]
+    got, most = peak(scoring._bucketed, t)
+    assert most < forest + 10 * sum(map(len, keys))
+    got = {c: got[c][0].as_py() for c in got.schema.names}
+    here = arrow.unpacked(got["keys"], got["size"])
+    assert here.tolist() == sorted(set(np.concatenate(keys).tolist()))
+    total = np.zeros(len(here), np.int64)
+    for k, c, size, place in zip(keys, counts, got["sizes"], got["places"], strict=True):
+        assert here[arrow.unpacked(place, size)].tolist() == k.tolist()
+        total[np.searchsorted(here, k)] += c
+    assert arrow.unpacked(got["counts"], got["size"]).tolist() == total.tolist()
+
+    # A unit's contexts.
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma"], 9)) + f" {i * 7919 % 10_007} \n") for i in range(40_000)]
+    texts = [t.encode() for _, t in rows]
+    unit = arrow.pack(pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array(texts, pa.binary())}))
+    (key, n), most = peak(scoring._distinct, unit)
+    assert most < 9 * sum(map(len, texts))
+    train = collections.Counter(scoring.contexts([t for (i, _), t in zip(rows, texts, strict=True) if not scoring.held_out(i)])[0].tolist())
+    assert dict(zip(key.tolist(), n.tolist(), strict=True)) == {k: train[k] for k in set(scoring.contexts(texts)[0].tolist())}
+
+    # A task of the first step needs one Python worker.
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsCount()
+    scoring.score(spark.createDataFrame(rows[:20], "doc_id long, text string"))
+    runs = store.executionsList(seen, 99)
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    steps = [p.split("\n\n")[0].count("MapInArrow") for p in plans if "MapInArrow" in p and "Exchange" not in p]
+    assert steps == [1]
